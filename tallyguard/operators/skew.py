@@ -1,0 +1,28 @@
+"""Joining a frame that may hold hot keys with one that has a single row per key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 16
+
+
+def salted_join(
+    many: DataFrame,
+    one: DataFrame,
+    keys: Sequence[str],
+    spread: Column,
+    how: str = "inner",
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """Equi-join where any key may own any share of ``many``.
+
+    Rows of ``many`` are spread over ``salts`` sub-keys by the hash of ``spread`` (a column that
+    differs between the rows of a key); ``one`` is repeated once per sub-key, so keep it narrow.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -20,14 +20,14 @@ from tallyguard.constants import (
     SQLITE,
 )
 from tallyguard.functions.text import (
+    NON_SPACE,
     QUOTES,
     SPACE,
     SPACE_CHARS,
-    any_of,
+    contains_any,
     let,
     lines,
     strip,
-    words,
 )
 
 COLUMN_TYPE = (
@@ -52,7 +52,8 @@ _MODEL_HEAD = rf"model{SPACE}+([a-zA-Z0-9_]+){SPACE}*\{{"
 PRISMA_MODEL = rf"{_MODEL_HEAD}[^}}]*\}}"
 REFERENCED_TABLE = rf"(?iu)REFERENCES{SPACE}+({_NAME})"
 PRISMA_REFERENCES = rf"@relation\([^)]*references:{SPACE}*\[([^\]]+)\]"
-CONSTRAINT_START = r"^(?:CONSTRAINT|PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK)"
+CONSTRAINT_STARTS = ["CONSTRAINT", "PRIMARY KEY", "FOREIGN KEY", "UNIQUE", "CHECK"]
+_TWO_WORDS = rf"^({NON_SPACE}+){SPACE}+({NON_SPACE}+)"
 
 # Elements of a column list without commas outside parentheses, parentheses nested up to three
 # deep. Possessive throughout, so it runs in one pass without backtracking.
@@ -74,7 +75,7 @@ def engine_type(path: Column, content: Column) -> Column:
 
 
 def is_ledger_table(name: Column, ledger_words: Sequence[str] = LEDGER_WORDS) -> Column:
-    return F.lower(name).rlike(any_of(list(ledger_words)))
+    return contains_any(F.lower(name), ledger_words)
 
 
 def without_comments(content: Column) -> Column:
@@ -169,16 +170,25 @@ def _unquoted(name: Column) -> Column:
     return F.btrim(name, F.lit(QUOTES))
 
 
+def _is_constraint(upper: Column) -> Column:
+    found = F.lit(False)
+    for start in CONSTRAINT_STARTS:
+        found = found | upper.startswith(start)
+    return found
+
+
 def _sql_column(element: Column) -> Column:
-    def describe(parts: Column) -> Column:
-        upper = F.upper(element)
+    """struct<text, upper> of an element -> column struct, null for less than two words."""
+    text, upper = element["text"], element["upper"]
+    target = F.nullif(F.regexp_extract(text, REFERENCED_TABLE, 1), F.lit(""))
+
+    def describe(name: Column) -> Column:
         is_reference = upper.contains("REFERENCES")
-        target = F.nullif(F.regexp_extract(element, REFERENCED_TABLE, 1), F.lit(""))
         return F.when(
-            F.size(parts) >= 2,
+            name != "",
             F.struct(
-                _unquoted(F.get(parts, F.lit(0))).alias("name"),
-                F.get(parts, F.lit(1)).alias("data_type"),
+                _unquoted(name).alias("name"),
+                F.regexp_extract(text, _TWO_WORDS, 2).alias("data_type"),
                 (~upper.contains("NOT NULL")).alias("is_nullable"),
                 upper.contains("PRIMARY KEY").alias("is_primary_key"),
                 is_reference.alias("is_foreign_key"),
@@ -186,37 +196,48 @@ def _sql_column(element: Column) -> Column:
             ),
         )
 
-    return let(words(element), describe)
+    return let(F.regexp_extract(text, _TWO_WORDS, 1), describe)
 
 
 def _sql_table(statement: Column, triggers: Column, ledger_words: Sequence[str]) -> Column:
     """One matched CREATE TABLE statement -> table struct."""
-    name = _unquoted(F.regexp_extract(statement, rf"(?isud)^{_TABLE_HEAD}", 1))
-    tail = F.when(statement.endswith(";"), F.lit(2)).otherwise(F.lit(1))
-    rest = F.regexp_replace(statement, rf"(?isud)^{_TABLE_HEAD}", "")
-    body = let(rest, lambda r: F.left(r, F.length(r) - tail))
-
-    def assemble(head: Column) -> Column:
-        on_table = [F.concat(F.lit(f"ON {q}"), head["name"], F.lit(q)) for q in ("", "`", '"')]
-        is_constraint = lambda e: F.upper(e).rlike(CONSTRAINT_START)
-        columns = F.transform(F.filter(head["elements"], lambda e: ~is_constraint(e)), _sql_column)
+    end = F.when(statement.endswith(";"), F.lit(2)).otherwise(F.lit(1))
+
+    def elements_of(head: Column) -> Column:
+        start = F.length(head)
+        body = F.substring(statement, start + 1, F.length(statement) - start - end)
+        named = F.transform(
+            F.transform(let(body, split_elements), strip),
+            lambda e: F.struct(e.alias("text"), F.upper(e).alias("upper")),
+        )
+        return F.struct(
+            _unquoted(F.regexp_extract(head, rf"(?isud){_TABLE_HEAD}", 1)).alias("name"),
+            F.filter(named, lambda e: e["text"] != "").alias("elements"),
+        )
+
+    def assemble(parsed: Column) -> Column:
+        name, elements = parsed["name"], parsed["elements"]
+        on_table = [F.concat(F.lit(f"ON {q}"), name, F.lit(q)) for q in ("", "`", '"')]
+        columns = F.transform(
+            F.filter(elements, lambda e: ~_is_constraint(e["upper"])), _sql_column
+        )
         return F.struct(
-            head["name"].alias("name"),
+            name.alias("name"),
             F.filter(columns, lambda c: c.isNotNull()).alias("columns"),
-            F.filter(head["elements"], is_constraint).alias("constraints"),
+            F.transform(
+                F.filter(elements, lambda e: _is_constraint(e["upper"])), lambda e: e["text"]
+            ).alias("constraints"),
             F.filter(
                 triggers,
                 lambda t: t.contains(on_table[0])
                 | t.contains(on_table[1])
                 | t.contains(on_table[2]),
             ).alias("triggers"),
-            is_ledger_table(head["name"], ledger_words).alias("is_ledger_table"),
+            is_ledger_table(name, ledger_words).alias("is_ledger_table"),
         )
 
-    elements = F.filter(
-        F.transform(let(body, split_elements), strip), lambda e: e != ""
-    )
-    return let(F.struct(name.alias("name"), elements.alias("elements")), assemble)
+    head = F.regexp_extract(statement, rf"(?isud)^{_TABLE_HEAD}", 0)
+    return let(let(head, elements_of), assemble)
 
 
 def sql_tables(content: Column, ledger_words: Sequence[str] = LEDGER_WORDS) -> Column:
@@ -241,14 +262,14 @@ def sql_tables(content: Column, ledger_words: Sequence[str] = LEDGER_WORDS) -> C
 
 
 def _prisma_field(line: Column) -> Column:
-    def describe(parts: Column) -> Column:
+    target = F.nullif(F.regexp_extract(line, PRISMA_REFERENCES, 1), F.lit(""))
+
+    def describe(declared: Column) -> Column:
         is_relation = line.contains("@relation")
-        target = F.nullif(F.regexp_extract(line, PRISMA_REFERENCES, 1), F.lit(""))
-        declared = F.get(parts, F.lit(1))
         return F.when(
-            F.size(parts) >= 2,
+            declared != "",
             F.struct(
-                F.get(parts, F.lit(0)).alias("name"),
+                F.regexp_extract(line, _TWO_WORDS, 1).alias("name"),
                 F.replace(declared, F.lit("?"), F.lit("")).alias("data_type"),
                 declared.contains("?").alias("is_nullable"),
                 line.contains("@id").alias("is_primary_key"),
@@ -257,7 +278,7 @@ def _prisma_field(line: Column) -> Column:
             ),
         )
 
-    return let(words(line), describe)
+    return let(F.regexp_extract(line, _TWO_WORDS, 2), describe)
 
 
 def prisma_tables(content: Column, ledger_words: Sequence[str] = LEDGER_WORDS) -> Column:

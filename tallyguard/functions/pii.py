@@ -12,7 +12,14 @@ from tallyguard.constants import (
     SECURE_SUFFIXES,
     SECURE_TYPES,
 )
-from tallyguard.functions.text import any_of
+from tallyguard.functions.text import contains_any
+
+
+def _ends_with_any(text: Column, suffixes: list[str]) -> Column:
+    found = F.lit(False)
+    for suffix in suffixes:
+        found = found | text.endswith(suffix)
+    return found
 
 
 def _verdict(classification: str, violation: bool, reason: Column | str, hint: str) -> Column:
@@ -32,12 +39,12 @@ def classify_column(name: Column, data_type: Column) -> Column:
     protecting suffix, card data only behind a masking or token suffix.
     """
     lowered = F.lower(name)
-    is_identity = lowered.rlike(any_of(IDENTITY_WORDS))
-    is_card = lowered.rlike(any_of(CARD_WORDS))
-    is_secured = F.lower(data_type).rlike(any_of(SECURE_TYPES)) | lowered.rlike(
-        f"(?:{any_of(SECURE_SUFFIXES)})\\z"
+    is_identity = contains_any(lowered, IDENTITY_WORDS)
+    is_card = contains_any(lowered, CARD_WORDS)
+    is_secured = contains_any(F.lower(data_type), SECURE_TYPES) | _ends_with_any(
+        lowered, SECURE_SUFFIXES
     )
-    is_masked_card = lowered.rlike(f"(?:{any_of(CARD_SAFE_SUFFIXES)})\\z")
+    is_masked_card = _ends_with_any(lowered, CARD_SAFE_SUFFIXES)
 
     # The reasons and hints are part of the findings.
     return (

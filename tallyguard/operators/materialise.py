@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _use_checkpoint_folder(spark: SparkSession) -> None:
@@ -28,3 +29,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """The same rows, read back from the checkpoint folder; survives the loss of executors."""
     _use_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, which is counted while they are written."""
+    seen = Observation()
+    rows = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return rows, seen.get["n"]

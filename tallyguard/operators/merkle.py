@@ -63,8 +63,8 @@ def merkle_root(
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     named = [key.alias(f"_k{i}") for i, key in enumerate(keys)]
     hashed = df.select(*named, F.sha2(leaf, 256).alias("h"))
-    nodes = number_rows(hashed, [f"_k{i}" for i in range(len(keys))]).select("idx", "h")
-    total = nodes.agg(F.count("*").alias("n")).first()["n"]
+    numbered, total = number_rows(hashed, [f"_k{i}" for i in range(len(keys))])
+    nodes = numbered.select("idx", "h")
     if total == 0:
         return spark.range(1).select(
             F.lit(0).cast("bigint").alias("leaf_count"), F.lit(EMPTY_ROOT).alias("merkle_root")

@@ -7,19 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.operators.materialise import materialise
+from tallyguard.operators.materialise import materialise_counted
 
 # monotonically_increasing_id keeps the partition above, the row below this bit.
 _ROW_BITS = 33
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str = "idx") -> DataFrame:
-    """Adds ``name``: 0, 1, 2, ... in the given (total) order.
+def number_rows(
+    df: DataFrame, order_by: Sequence[str | Column], name: str = "idx"
+) -> tuple[DataFrame, int]:
+    """Adds ``name``: 0, 1, 2, ... in the given (total) order; also gives the number of rows.
 
     A range-partitioned sort, then each partition's start is added to the position inside the
     partition. The sorted frame is materialised, because both steps must see the same partitions.
     """
-    ordered = materialise(
+    ordered, total = materialise_counted(
         df.orderBy(*order_by).withColumn("_row", F.monotonically_increasing_id())
     )
     partition = F.shiftright("_row", _ROW_BITS)
@@ -33,9 +35,10 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str = "id
         ).alias("_start"),
     )
     position = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
+    numbered = (
         ordered.withColumn("_partition", partition)
         .join(F.broadcast(starts), "_partition")
         .withColumn(name, F.col("_start") + position)
         .drop("_partition", "_start", "_row")
     )
+    return numbered, total

@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
+HOT_ROWS = 5_000_000
+MAX_HOT_KEYS = 1_000
+
+
+def _salt(spread: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
 
 
 def salted_join(
@@ -18,11 +24,51 @@ def salted_join(
     how: str = "inner",
     salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
-    """Equi-join where any key may own any share of ``many``.
+    """Equi-join where any key may own any share of ``many``, for a ``one`` that is far smaller.
 
     Rows of ``many`` are spread over ``salts`` sub-keys by the hash of ``spread`` (a column that
-    differs between the rows of a key); ``one`` is repeated once per sub-key, so keep it narrow.
+    differs between the rows of a key); ``one`` is repeated once per sub-key.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salted = many.withColumn("_salt", _salt(spread, salts))
     repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_key_join(
+    many: DataFrame,
+    one: DataFrame,
+    keys: Sequence[str],
+    spread: Column,
+    rows_per_key: str,
+    at_most: int | None = None,
+    salts: int = 64,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner equi-join that spreads only the hot keys, for a ``one`` of similar size.
+
+    ``rows_per_key`` is a column of ``one`` with an upper bound of the key's rows in ``many``; it
+    is dropped from the result. Hot keys are the largest ones above ``hot_rows``, at most
+    ``MAX_HOT_KEYS``, so their list can be broadcast; any other key owns less than one part in
+    ``MAX_HOT_KEYS`` of the rows, or no more than ``hot_rows``, and is joined as it is. When all of
+    ``many`` has ``at_most`` that many rows, no key can be hot and nothing has to be looked up.
+    """
+    if at_most is not None and at_most <= hot_rows:
+        return many.join(one.drop(rows_per_key), list(keys))
+    hot = (
+        one.filter(F.col(rows_per_key) > hot_rows)
+        .orderBy(F.col(rows_per_key).desc(), *keys)
+        .limit(MAX_HOT_KEYS)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    spread_many = many.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), _salt(spread, salts)).otherwise(F.lit(0))
+    )
+    sub_keys = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    repeated = (
+        one.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_salt", F.explode(sub_keys))
+        .drop("_hot", rows_per_key)
+    )
+    return spread_many.drop("_hot").join(repeated, [*keys, "_salt"]).drop("_salt")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyguard.sources.tables import read_table, spread
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -26,7 +28,7 @@ class Projection:
         return f"SELECT {listed} FROM {self.table} WHERE {self.where}"
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").filter(self.where)
+        rows = spread(read_table(spark, sf_dir, self.table).filter(self.where))
         return rows.selectExpr(*[f"{expr} AS {name}" for name, expr in self.columns.items()])
 
 

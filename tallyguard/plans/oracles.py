@@ -462,7 +462,7 @@ _TABLES = {
     "archive_files": """WITH d AS (SELECT doc_id, doc_id // 50 AS b, text FROM documents)
         SELECT concat(CAST(b AS STRING), CASE WHEN b % 2 = 0 THEN '.zip' ELSE '.TAR.GZ' END) AS archive,
           CASE WHEN doc_id % 3 = 1 THEN concat('docs/', CAST(doc_id AS STRING), '.sql')
-               ELSE concat('a/../docs/', CAST(doc_id AS STRING), '.sql') END AS relative_path,
+               ELSE concat(CASE WHEN b % 2 = 0 THEN 'a/' ELSE '' END, 'docs/', CAST(doc_id AS STRING), '.sql') END AS relative_path,
           md5(text) AS content_md5
         FROM d WHERE doc_id % 3 <> 0 AND b % 7 <> 3 AND b % 11 <> 5""",
     "archive_rejects": """SELECT concat(CAST(b AS STRING), CASE WHEN b % 11 = 5 THEN '.rar'

@@ -68,6 +68,7 @@ from tallyguard.rules.catalog import EMAIL, LINE_RULES, NDPA_RULES, SCHEMA_RULES
 from tallyguard.rules.model import TABLE, Rule, by_framework
 from tallyguard.sources.archives import archive_members, rejected_archives
 from tallyguard.sources.files import from_bytes, with_engine
+from tallyguard.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,10 +79,6 @@ def _query(function: Query) -> Query:
     return function
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 
@@ -147,7 +144,7 @@ def document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user-defined pattern instead of the default ones, on every column of raw text."""
     email = [SecretPattern("E-mail addresses", "EMAIL", EMAIL)]
-    documents = _table(spark, sf_dir, "documents")
+    documents = spread(read_table(spark, sf_dir, "documents"))
     return (
         redact(documents, "text", email)
         .filter("secret_count > 0")
@@ -157,7 +154,8 @@ def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = explode_lines(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    documents = spread(read_table(spark, sf_dir, "documents"))
+    lines = explode_lines(documents, "text", ["doc_id"])
     return lines.groupBy("doc_id").agg(
         F.max("line_number").alias("last_line"),
         F.sum(F.length("line")).alias("characters"),
@@ -210,10 +208,10 @@ def seed_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def pii_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents and conversations with an e-mail address or an 11-digit number."""
-    documents = _table(spark, sf_dir, "documents").select(
+    documents = spread(read_table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("documents/"), "doc_id").alias("relative_path"), "text"
     )
-    turns = _table(spark, sf_dir, "conversations").select(
+    turns = spread(read_table(spark, sf_dir, "conversations")).select(
         F.concat(F.lit("conversations/"), "conv_id", F.lit("/"), "turn").alias("relative_path"),
         "text",
     )
@@ -224,7 +222,7 @@ def pii_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def insecure_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = _table(spark, sf_dir, "pages").select(
+    urls = read_table(spark, sf_dir, "pages").select(
         F.concat(F.lit("pages/"), "page_id").alias("relative_path"),
         F.lit(1).cast("bigint").alias("line_number"),
         F.col("url").alias("line"),
@@ -262,7 +260,7 @@ def scan_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 7, F.replace("html", F.lit(" "), F.lit("\r\n")).cast("binary"))
         .otherwise(F.col("html").cast("binary"))
     )
-    raw = _table(spark, sf_dir, "pages").select(
+    raw = read_table(spark, sf_dir, "pages").select(
         path.alias("relative_path"), content.alias("content")
     )
     return with_engine(from_bytes(raw)).select(
@@ -356,7 +354,7 @@ def _pack(bucket: pd.DataFrame) -> pd.DataFrame:
 
 
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select(
+    documents = read_table(spark, sf_dir, "documents").select(
         F.floor(F.col("doc_id") / 50).alias("bucket"), "doc_id", "text"
     )
     packed = documents.groupBy("bucket").applyInPandas(_pack, "archive string, content binary")
@@ -508,12 +506,12 @@ def unbalanced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose total (debit) differs from the sum of their line items (credit)."""
     money = "decimal(18,2)"
     zero = F.lit(0).cast(money)
-    debits = _table(spark, sf_dir, "orders").select(
+    debits = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("entry"),
         F.col("o_totalprice").cast(money).alias("debit"),
         zero.alias("credit"),
     )
-    credits = _table(spark, sf_dir, "lineitem").select(
+    credits = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("entry"),
         zero.alias("debit"),
         F.col("l_extendedprice").cast(money).alias("credit"),
@@ -528,7 +526,7 @@ def unbalanced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def negative_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _table(spark, sf_dir, "customer").select(
+    entries = read_table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_acctbal").alias("debit"), F.lit(0.0).alias("credit")
     )
     return negative_entries(entries).select("c_custkey", "debit")
@@ -621,7 +619,7 @@ def guard_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def orders_merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select(
+    orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", F.concat_ws("|", F.col("o_orderkey"), F.col("o_orderstatus")).alias("leaf")
     )
     return merkle_root(orders, ["o_orderkey"], "leaf")
@@ -648,7 +646,7 @@ def attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select(
+    return read_table(spark, sf_dir, "pages").select(
         "page_id",
         target_fingerprint(
             F.col("url"), F.lit("2024-01-01T00:00:00+00:00")

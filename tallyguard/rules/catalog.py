@@ -18,7 +18,14 @@ from tallyguard.constants import (
     MONEY_COLUMNS,
 )
 from tallyguard.functions.invariants import has_column, mentions
-from tallyguard.functions.text import DIGIT, SPACE, WORD_END, WORD_START, ascii_digits
+from tallyguard.functions.text import (
+    DIGIT,
+    SPACE,
+    WORD_END,
+    WORD_START,
+    ascii_digits,
+    contains_any,
+)
 from tallyguard.rules.model import COLUMN, FILE, HIT, LINE, TABLE, Rule, Scope
 
 # --- schema rules ---------------------------------------------------------------------------
@@ -139,13 +146,6 @@ SCHEMA_RULES: list[Rule] = [
 _NDPA = "NDPA 2023 S.29"
 
 
-def _has_any(text: Column, needles: list[str]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | text.contains(needle)
-    return found
-
-
 def _category_label(s: Scope) -> Column:
     label = F.lit(None).cast("string")
     for name, text in CATEGORY_LABELS.items():
@@ -154,7 +154,7 @@ def _category_label(s: Scope) -> Column:
 
 
 def explicit_wildcard_origin(line: Column) -> Column:
-    return _has_any(
+    return contains_any(
         line["squeezed_lower"],
         [
             "access-control-allow-origin:*",
@@ -167,14 +167,14 @@ def explicit_wildcard_origin(line: Column) -> Column:
 
 def opens_cors_block(line: Column) -> Column:
     # The substrings leave out the letters that have look-alikes of another case.
-    return _has_any(line["lower"], ["cor", "-allow-or", "allowed_or"]) & line["text"].rlike(
+    return contains_any(line["lower"], ["cor", "-allow-or", "allowed_or"]) & line["text"].rlike(
         "(?iu)cors|access-control-allow-origin|allowed_origins"
     )
 
 
 def wildcard_in_block(line: Column) -> Column:
     """A wildcard that counts only inside of a CORS block."""
-    return ~explicit_wildcard_origin(line) & _has_any(
+    return ~explicit_wildcard_origin(line) & contains_any(
         line["squeezed_lower"], ['"*"', "'*'", "origin:*"]
     )
 
@@ -200,7 +200,7 @@ def _short_retention(s: Scope) -> Column:
 def _is_database_line(s: Scope) -> Column:
     return (
         F.exists(s.line["hits"], lambda h: h["category"].contains("DATABASE"))
-        | _has_any(
+        | contains_any(
             s.line["lower"],
             ["[redacted:", "postgres", "mysql", "mongodb", "database_url", "db_url"],
         )
@@ -238,7 +238,7 @@ _DEFAULTS = {
 
 
 def _open_binding(s: Scope) -> Column:
-    return _has_any(s.line["squeezed_lower"], ["bind_address=0.0.0.0", "bind=0.0.0.0"])
+    return contains_any(s.line["squeezed_lower"], ["bind_address=0.0.0.0", "bind=0.0.0.0"])
 
 
 def _default_port(s: Scope) -> Column:
@@ -285,7 +285,7 @@ CBN_RULES: list[Rule] = [
         CYBERSECURITY,
         "HIGH",
         LINE,
-        lambda s: _has_any(
+        lambda s: contains_any(
             s.line["squeezed"],
             ["DEBUG=true", "NODE_ENV=development", "FLASK_DEBUG=1", "DJANGO_DEBUG=True"],
         )
@@ -340,19 +340,19 @@ ELEVEN_DIGITS = rf"{WORD_START}{DIGIT}{{11}}{WORD_END}"
 NDPA_RULES: list[Rule] = [
     Rule(
         **_TRANSPORT,
-        when=lambda s: _has_any(s.line["lower"], ["ssl=false", "ssl=off"]),
+        when=lambda s: contains_any(s.line["lower"], ["ssl=false", "ssl=off"]),
         description="Disabled SSL detected.",
     ),
     Rule(
         **_TRANSPORT,
         when=lambda s: s.line["lower"].contains("http://")
-        & ~_has_any(s.line["lower"], ["localhost", "127.0.0.1"]),
+        & ~contains_any(s.line["lower"], ["localhost", "127.0.0.1"]),
         description="HTTP URL detected. Use HTTPS.",
     ),
     Rule(
         **_TRANSPORT,
         when=lambda s: _is_database_line(s)
-        & ~_has_any(s.line["lower"], ["sslmode=require", "sslmode=verify-full", "ssl=true"]),
+        & ~contains_any(s.line["lower"], ["sslmode=require", "sslmode=verify-full", "ssl=true"]),
         description="Database connection missing SSL requirement.",
     ),
     Rule(
@@ -376,7 +376,7 @@ NDPA_RULES: list[Rule] = [
         LINE,
         lambda s: s.line["text"].rlike(rf"{EMAIL}|{ELEVEN_DIGITS}")
         | (
-            _has_any(s.line["lower"], PERSON_NAMES)
+            contains_any(s.line["lower"], PERSON_NAMES)
             & F.lower(s.file["relative_path"]).rlike("seed|test")
         ),
         "PII (Email, BVN, NIN, or Name) detected.",
@@ -389,7 +389,7 @@ NDPA_RULES: list[Rule] = [
         DATA_PROTECTION,
         "MEDIUM",
         LINE,
-        lambda s: _has_any(
+        lambda s: contains_any(
             s.line["lower"], ["ttl=0", "retention=-1", "never_expire", "retention=unlimited"]
         ),
         "Unlimited data retention detected.",
@@ -403,7 +403,7 @@ NDPA_RULES: list[Rule] = [
         DATA_PROTECTION,
         "MEDIUM",
         LINE,
-        lambda s: _has_any(s.line["lower"], ["analytics", "tracking"])
+        lambda s: contains_any(s.line["lower"], ["analytics", "tracking"])
         & s.line["lower"].contains("consent=false"),
         "Tracking/analytics configured without explicit consent.",
         "Implement consent management. NDPA requires explicit consent for data processing.",

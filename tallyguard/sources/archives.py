@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -47,14 +48,18 @@ class _Archive:
             self.names = [info.name for info in self._infos]
 
     def files(self) -> Iterator[tuple[str, Callable[[], bytes]]]:
+        """(path the member would be unpacked to, reader); unpacking a zip leaves out dots,
+        unpacking a tar resolves them."""
         if self._zip is not None:
             for info in self._zip.infolist():
                 if not info.is_dir():
-                    yield info.filename, lambda info=info: self._zip.read(info)
+                    parts = [p for p in info.filename.split("/") if p not in ("", ".", "..")]
+                    yield "/".join(parts), lambda info=info: self._zip.read(info)
         else:
             for info in self._infos:
                 if info.isfile():
-                    yield info.name, lambda info=info: self._tar.extractfile(info).read()
+                    path = posixpath.normpath(info.name)
+                    yield path, lambda info=info: self._tar.extractfile(info).read()
 
 
 def _problem(name: str, data: bytes) -> tuple[_Archive | None, str | None]:
@@ -113,7 +118,6 @@ def archive_members(archives: DataFrame) -> DataFrame:
         _supported(archives)
         .select("archive", "content")
         .mapInPandas(_open_members, "archive string, relative_path string, content binary")
-        .withColumn("relative_path", F.regexp_replace("relative_path", r"^(?:\./)+", ""))
     )
     return from_bytes(opened)
 

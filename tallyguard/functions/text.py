@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,7 +62,10 @@ def explode_found(array: Column) -> Column:
 
 def lines_keeping_breaks(c: Column) -> Column:
     """Lines including their terminators, so that joining them restores the text."""
-    return F.filter(F.split(c, AFTER_LINE_BREAK, -1), lambda s: s != "")
+    parts = F.when(c.rlike(OTHER_LINE_BREAKS), F.split(c, AFTER_LINE_BREAK, -1)).otherwise(
+        F.split(c, r"(?<=\n)", -1)
+    )
+    return F.filter(parts, lambda s: s != "")
 
 
 def lines(c: Column) -> Column:
@@ -78,6 +82,7 @@ def lines(c: Column) -> Column:
     return let(parts, drop_empty_tail)
 
 
+@cache
 def _foreign_digits() -> tuple[str, str]:
     """All decimal digits outside ASCII and the ASCII digit each one stands for."""
     chars = [

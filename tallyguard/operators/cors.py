@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions.redaction import DEFAULT_PATTERNS, SecretPattern
 from tallyguard.rules.catalog import CORS_BLOCK_CASE, opens_cors_block, wildcard_in_block
-from tallyguard.rules.engine import candidate_lines, line_finding
-from tallyguard.rules.model import Rule, Scope, numbered
+from tallyguard.rules.engine import candidate_lines, findings_of_case
+from tallyguard.rules.model import Rule
 
 LINES_PER_BLOCK = 100_000
 
@@ -74,7 +74,4 @@ def cors_block_findings(
         | ((F.col("kind") == _WILDCARD) & (F.col("previous") == _OPENS))
     )
 
-    cases = [entry for entry in numbered(rules) if entry[0].rule_id == CORS_BLOCK_CASE.rule_id]
-    scope = Scope(F.struct(F.col("relative_path").alias("relative_path")))
-    finding = line_finding(CORS_BLOCK_CASE, cases[0][1], len(cases), scope)
-    return fired.select(finding.alias("f")).select("f.*")
+    return findings_of_case(fired, rules, CORS_BLOCK_CASE)

@@ -6,7 +6,9 @@ three grains come out of a single ``explode``. Line rules run on a frame of line
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from tallyguard.functions.redaction import (
 from tallyguard.functions.text import explode_found, let
 from tallyguard.rules.model import COLUMN, FILE, HIT, LINE, TABLE, Rule, Scope, numbered
 
+SCHEMA_GRAINS = (FILE, TABLE, COLUMN)
 ORDER_KEY = ["rule_ord", "relative_path", "table_ord", "col_ord", "line_number", "sub_ord"]
 FINDING_COLUMNS = [
     "rule_id",
@@ -39,13 +42,60 @@ FINDING_COLUMNS = [
 ]
 
 
-_NO_RULE = Rule("", "", "", "", "none", lambda s: F.lit(False), "")
+_STATIC_TYPE = (
+    "array<struct<rule_ord:int,case_ord:int,rule_id:string,title:string,framework:string,"
+    "risk_tier:string,description:string,remediation:string,reference:string>>"
+)
+
+
+def _static_texts(rules: Sequence[Rule]) -> Column:
+    """What does not depend on the row, one entry per case; Spark folds it into one constant."""
+    entries = [
+        {
+            "rule_ord": rule_ord,
+            "case_ord": case_ord,
+            "rule_id": rule.rule_id,
+            "title": rule.name,
+            "framework": rule.framework,
+            "risk_tier": rule.tier,
+            "description": rule.description if isinstance(rule.description, str) else "",
+            "remediation": rule.remediation if isinstance(rule.remediation, str) else "",
+            "reference": rule.reference,
+        }
+        for rule, rule_ord, case_ord in numbered(rules)
+    ]
+    return F.from_json(F.lit(json.dumps(entries)), _STATIC_TYPE)
+
 
+def _matches(rules: Sequence[Rule], grain: str, scope: Scope) -> Column:
+    """array<struct<case_no, description, remediation>> of the rules of a grain that hold here;
+    the texts are null unless the rule computes them."""
+    nothing = F.lit(None).cast("string")
+
+    def match(case_no: int, rule: Rule) -> Column:
+        return F.struct(
+            F.lit(case_no).alias("case_no"),
+            (rule.description(scope) if callable(rule.description) else nothing).alias(
+                "description"
+            ),
+            (rule.remediation(scope) if callable(rule.remediation) else nothing).alias(
+                "remediation"
+            ),
+        )
 
-def _finding(
-    rule: Rule,
-    rule_ord: int,
+    found = [
+        F.when(rule.when(scope), match(case_no, rule))
+        for case_no, rule in enumerate(rules)
+        if rule.grain == grain
+    ]
+    return F.filter(F.array(*found), lambda m: m.isNotNull())
+
+
+def _findings(
+    rules: Sequence[Rule],
+    grain: str,
     scope: Scope,
+    static: Column,
     *,
     file_path: Column,
     table_ord: Column | None = None,
@@ -53,95 +103,82 @@ def _finding(
     line_number: Column | None = None,
     sub_ord: Column | None = None,
 ) -> Column:
+    """array<finding> of the rules of one grain for one scope."""
     nothing = F.lit(None).cast("string")
     minus_one = F.lit(-1)
-    return F.struct(
-        F.lit(rule_ord).alias("rule_ord"),
-        scope.file["relative_path"].alias("relative_path"),
-        (minus_one if table_ord is None else table_ord).alias("table_ord"),
-        (minus_one if col_ord is None else col_ord).alias("col_ord"),
-        (F.lit(0) if sub_ord is None else sub_ord).alias("sub_ord"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.name).alias("title"),
-        rule.text(rule.description, scope).alias("description"),
-        F.lit(rule.framework).alias("framework"),
-        F.lit(rule.tier).alias("risk_tier"),
-        file_path.alias("file_path"),
-        (F.lit(None) if line_number is None else line_number).cast("bigint").alias("line_number"),
-        (nothing if scope.table is None else scope.table["name"]).alias("table_name"),
-        (nothing if scope.column is None else scope.column["name"]).alias("column_name"),
-        F.lit("").alias("code_snippet"),
-        rule.text(rule.remediation, scope).alias("remediation"),
-        F.lit(rule.reference).alias("reference"),
-    )
 
+    def complete(match: Column) -> Column:
+        def with_static(text: Column) -> Column:
+            return F.struct(
+                text["rule_ord"].alias("rule_ord"),
+                scope.file["relative_path"].alias("relative_path"),
+                (minus_one if table_ord is None else table_ord).alias("table_ord"),
+                (minus_one if col_ord is None else col_ord).alias("col_ord"),
+                (text["case_ord"] if sub_ord is None else sub_ord).alias("sub_ord"),
+                text["rule_id"].alias("rule_id"),
+                text["title"].alias("title"),
+                F.coalesce(match["description"], text["description"]).alias("description"),
+                text["framework"].alias("framework"),
+                text["risk_tier"].alias("risk_tier"),
+                file_path.alias("file_path"),
+                (F.lit(None) if line_number is None else line_number)
+                .cast("bigint")
+                .alias("line_number"),
+                (nothing if scope.table is None else scope.table["name"]).alias("table_name"),
+                (nothing if scope.column is None else scope.column["name"]).alias("column_name"),
+                F.lit("").alias("code_snippet"),
+                F.coalesce(match["remediation"], text["remediation"]).alias("remediation"),
+                text["reference"].alias("reference"),
+            )
+
+        return let(F.get(static, match["case_no"]), with_static)
 
-def _matches(
-    rules: Sequence[tuple[Rule, int, int]], scope: Scope, make: Callable[[Rule, int, int], Column]
-) -> Column:
-    """array<finding> of the rules whose condition holds for this scope."""
-    hits = [F.when(rule.when(scope), make(rule, ro, co)) for rule, ro, co in rules]
-    return F.filter(F.array(*hits), lambda f: f.isNotNull())
+    return F.transform(_matches(rules, grain, scope), complete)
 
 
-def schema_findings(file: Column, tables: Column, rules: Sequence[Rule]) -> Column:
+def schema_findings(
+    file: Column, tables: Column, rules: Sequence[Rule], grains: Sequence[str] = SCHEMA_GRAINS
+) -> Column:
     """array<finding> of one row: file rules on ``file``, table and column rules on ``tables``."""
-    of_grain = {
-        grain: [entry for entry in numbered(rules) if entry[0].grain == grain]
-        for grain in (FILE, TABLE, COLUMN)
-    }
-    nothing = F.filter(
-        F.array(_finding(_NO_RULE, 0, Scope(file), file_path=file["path"])), lambda f: F.lit(False)
-    )
-    parts = [nothing]
-    if of_grain[FILE]:
-        scope = Scope(file)
-        parts.append(
-            _matches(
-                of_grain[FILE],
-                scope,
-                lambda r, ro, co: _finding(
-                    r, ro, scope, file_path=file["path"], sub_ord=F.lit(co)
-                ),
-            )
-        )
+    static = _static_texts(rules)
+    path = file["path"]
+
+    def on_file() -> Column:
+        return _findings(rules, FILE, Scope(file), static, file_path=path)
 
     def on_table(table: Column, table_ord: Column) -> Column:
-        scope = Scope(file, table)
-        return _matches(
-            of_grain[TABLE],
-            scope,
-            lambda r, ro, co: _finding(
-                r, ro, scope, file_path=file["path"], table_ord=table_ord, sub_ord=F.lit(co)
-            ),
+        return _findings(
+            rules, TABLE, Scope(file, table), static, file_path=path, table_ord=table_ord
         )
 
     def on_columns(table: Column, table_ord: Column) -> Column:
         def on_column(column: Column, col_ord: Column) -> Column:
-            def judged(pii: Column) -> Column:
-                scope = Scope(file, table, column, pii)
-                return _matches(
-                    of_grain[COLUMN],
-                    scope,
-                    lambda r, ro, co: _finding(
-                        r,
-                        ro,
-                        scope,
-                        file_path=file["path"],
-                        table_ord=table_ord,
-                        col_ord=col_ord,
-                        sub_ord=F.lit(co),
-                    ),
-                )
-
-            return let(classify_column(column["name"], column["data_type"]), judged)
+            return let(
+                classify_column(column["name"], column["data_type"]),
+                lambda pii: _findings(
+                    rules,
+                    COLUMN,
+                    Scope(file, table, column, pii),
+                    static,
+                    file_path=path,
+                    table_ord=table_ord,
+                    col_ord=col_ord,
+                ),
+            )
 
         return F.flatten(F.transform(table["columns"], on_column))
 
-    if of_grain[TABLE]:
+    present = {rule.grain for rule in rules} & set(grains)
+    parts = []
+    if FILE in present:
+        parts.append(on_file())
+    if TABLE in present:
         parts.append(F.flatten(F.transform(tables, on_table)))
-    if of_grain[COLUMN]:
+    if COLUMN in present:
         parts.append(F.flatten(F.transform(tables, on_columns)))
+    if not parts:
+        never = Rule("", "", "", "", FILE, lambda s: F.lit(False), "")
+        return _findings([never], FILE, Scope(file), _static_texts([never]), file_path=path)
     return F.concat(*parts)
 
 
@@ -187,54 +224,48 @@ def line_rule_findings(
     ``lines`` has relative_path, line_number, line.
     """
     file = F.struct(F.col("relative_path").alias("relative_path"))
-    path, number, view = F.col("relative_path"), F.col("line_number"), F.col("view")
-    of_line = [entry for entry in numbered(rules) if entry[0].grain == LINE]
-    of_hit = [entry for entry in numbered(rules) if entry[0].grain == HIT]
+    static = _static_texts(rules)
+    place = {"file_path": F.col("relative_path"), "line_number": F.col("line_number")}
 
     def any_rule_holds(candidate: Column) -> Column:
         result = F.lit(False)
-        for rule, _, _ in of_line:
-            result = result | rule.when(Scope(file, line=candidate))
+        for rule in rules:
+            if rule.grain == LINE:
+                result = result | rule.when(Scope(file, line=candidate))
         return result
 
-    viewed = candidate_lines(lines, any_rule_holds, patterns)
-    scope = Scope(file, line=view)
-    parts = [
-        _matches(
-            of_line,
-            scope,
-            lambda r, ro, co: _finding(
-                r, ro, scope, file_path=path, line_number=number, sub_ord=F.lit(co)
-            ),
-        )
-    ]
-
     def on_hit(hit: Column, position: Column) -> Column:
-        inner = Scope(file, line=view, hit=hit)
-        return _matches(
-            of_hit,
-            inner,
-            lambda r, ro, co: _finding(
-                r, ro, inner, file_path=path, line_number=number, sub_ord=position
-            ),
-        )
-
-    if of_hit:
-        parts.append(F.flatten(F.transform(view["hits"], on_hit)))
+        scope = Scope(file, line=F.col("view"), hit=hit)
+        return _findings(rules, HIT, scope, static, sub_ord=position, **place)
+
+    parts = []
+    if any(rule.grain == LINE for rule in rules):
+        parts.append(_findings(rules, LINE, Scope(file, line=F.col("view")), static, **place))
+    if any(rule.grain == HIT for rule in rules):
+        parts.append(F.flatten(F.transform(F.col("view.hits"), on_hit)))
     return (
-        viewed.select(explode_found(F.concat(*parts)).alias("f"))
+        candidate_lines(lines, any_rule_holds, patterns)
+        .select(explode_found(F.concat(*parts)).alias("f"))
         .filter(F.col("f").isNotNull())
         .select("f.*")
     )
 
 
-def line_finding(rule: Rule, rule_ord: int, case_ord: int, scope: Scope) -> Column:
-    """One finding struct for a line that is already known to match."""
-    return _finding(
-        rule,
-        rule_ord,
+def findings_of_case(rows: DataFrame, rules: Sequence[Rule], case: Rule) -> DataFrame:
+    """One finding per (relative_path, line_number) row, for a further case of a rule that was
+    evaluated elsewhere; it comes after the cases in ``rules``."""
+    with_case = [*(replace(r, grain="none") for r in rules), replace(case, when=_always)]
+    scope = Scope(F.struct(F.col("relative_path").alias("relative_path")))
+    found = _findings(
+        with_case,
+        LINE,
         scope,
+        _static_texts(with_case),
         file_path=F.col("relative_path"),
         line_number=F.col("line_number"),
-        sub_ord=F.lit(case_ord),
     )
+    return rows.select(explode_found(found).alias("f")).select("f.*")
+
+
+def _always(scope: Scope) -> Column:
+    return F.lit(True)

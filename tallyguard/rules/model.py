@@ -48,9 +48,6 @@ class Rule:
     remediation: Text = ""
     reference: str = ""
 
-    def text(self, value: Text, scope: Scope) -> Column:
-        return value(scope) if callable(value) else F.lit(value)
-
 
 def numbered(rules: Sequence[Rule]) -> list[tuple[Rule, int, int]]:
     """(rule, rule_ord, case_ord): the order of rules, and of the cases within one rule."""

@@ -29,12 +29,15 @@ _OPENS, _WILDCARD = 1, 2
 def _with_previous(events: DataFrame, lines_per_block: int) -> DataFrame:
     """Adds ``previous``: the kind of the event line before this one in its file.
 
-    Both branches read the same columns of the same exchange, so it is computed once. Every block
-    has its row in ``carried``, so the inner join loses nothing.
+    Both branches read the same columns of the same exchange, so it is computed once; the filter
+    before it keeps the two alike when the join adds its own. Every block has its row in
+    ``carried``, so the inner join loses nothing.
     """
-    blocked = events.withColumn(
-        "block", F.floor(F.col("line_number") / F.lit(lines_per_block))
-    ).repartition("relative_path", "block")
+    blocked = (
+        events.withColumn("block", F.expr(f"line_number div {lines_per_block}"))
+        .filter(F.col("relative_path").isNotNull() & F.col("block").isNotNull())
+        .repartition("relative_path", "block")
+    )
     carried = (
         blocked.groupBy("relative_path", "block")
         .agg(F.max_by("kind", "line_number").alias("last_kind"))

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def _use_checkpoint_folder(spark: SparkSession) -> None:
-    """The folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the driver and all executors share.
 
-    Only a local session without that setting gets a folder of its own: on a cluster the folder
-    has to be one that all executors share, and only its operator knows it.
+    It is the one named in ``spark.checkpoint.dir``; a session without that setting uses a folder
+    of its warehouse, which is shared as well. The rule is the same for every master.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(folder)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return named or f"{warehouse}/_intermediate"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """The same rows, read back from the checkpoint folder; survives the loss of executors."""
-    _use_checkpoint_folder(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

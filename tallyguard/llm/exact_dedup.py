@@ -113,9 +113,12 @@ def exact_duplicates(
         .join(names, "digest")
         .select("row", "n", "pos", "name")
     )
-    members = rows.select("row", "id", "text_sha256").join(_identities(parts), "row")
-    groups = members.groupBy("n", "name").agg(
-        F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size")
+    members = materialise(rows.select("row", "id", "text_sha256").join(_identities(parts), "row"))
+    # stored, so that the join below shuffles both sides itself and can split a large group
+    groups = materialise(
+        members.groupBy("n", "name").agg(
+            F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size")
+        )
     )
     return members.join(groups, ["n", "name"]).select(
         F.col("id").alias(id_col),

@@ -9,6 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyguard.llm.exact_dedup import exact_duplicates
+from tallyguard.llm.jaccard_join import similar_documents
+from tallyguard.llm.language_id import identify_languages
+from tallyguard.llm.packing import pack_documents
 from tallyguard.llm.sharding import shard_documents
 from tallyguard.llm.token_counts import token_counts
 from tallyguard.operators.materialise import shared_folder
@@ -18,27 +21,67 @@ SHARDS = 24
 TOKEN_LIMIT = 4096
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(read_table(spark, sf_dir, "documents"), model, TOKEN_LIMIT)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = f"{shared_folder(spark)}/slot-maps/{uuid.uuid4()}"
     return shard_documents(read_table(spark, sf_dir, "documents"), SHARDS, maps)
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        shingle AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(
+                range(1, greatest(len(words) - 3, 1) + 1),
+                lambda i: array_to_string(words[i:i + 3], ' '))) AS s
+            FROM w WHERE len(words) > 0),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT a, b FROM common c JOIN size x ON x.doc_id = c.a JOIN size y ON y.doc_id = c.b
+            WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT d.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(reach.b) AS component_id
+        FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
+        GROUP BY d.doc_id""",
     "op5_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -20,41 +20,74 @@ def bucket_count(df: DataFrame) -> int:
     return max(LEAST_BUCKETS, 4 * df.rdd.getNumPartitions())
 
 
-def to_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Keys (64 bits) and their ids (64 bits), dealt into rows of (bucket, keys, ids)."""
-    keys = keys.view(np.uint64)
-    bucket = ((keys >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+
+
+def cut(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+    """The order that sorts keys by bucket, and the number, start and end of each bucket in it."""
+    bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
-    keys, ids, bucket = keys[order], ids[order], bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else []
-    ends = [*first[1:], len(keys)] if len(keys) else []
+    first, length = runs_of(bucket[order])
+    return order, bucket[order][first].tolist(), first.tolist(), (first + length).tolist()
+
+
+def to_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int, key_bytes: int = 8) -> pa.RecordBatch:
+    """Keys (64 bits) and their ids (64 bits), dealt into rows of (bucket, keys, ids).
+
+    With fewer ``key_bytes`` only the low bytes of the keys travel, for uses where keys that happen
+    to agree in them and in their bucket do no harm.
+    """
+    keys = keys.view(np.uint64)
+    order, numbers, first, end = cut(keys, buckets)
+    low = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes]
+    ids = ids[order]
+    spans = list(zip(first, end))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(bucket[first] if len(keys) else [], pa.int32()),
-            pa.array([keys[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
-            pa.array([ids[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+            pa.array(numbers, pa.int32()),
+            pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()),
         ],
         names=["bucket", "keys", "ids"],
     )
 
 
+def _keys_of(blocks: list[bytes], key_bytes: int) -> np.ndarray:
+    low = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, key_bytes)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :key_bytes] = low
+    return wide.view("<u8").ravel()
+
+
+def by_bucket(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[list[tuple]]:
+    """The rows of each bucket, without its number, from batches that are sorted by bucket."""
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            if bucket != now and rows:
+                yield rows
+                rows = []
+            now = bucket
+            rows.append(tuple(row))
+    if rows:
+        yield rows
+
+
 def per_bucket(
-    blocks: DataFrame, work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str
+    blocks: DataFrame,
+    work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch],
+    schema: str,
+    key_bytes: int = 8,
 ) -> DataFrame:
     """Calls ``work(keys, ids)`` with all keys (unsigned) and ids of one bucket after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, ids = None, [], []
-        for batch in batches:
-            for bucket, key, owner in zip(*(column.to_pylist() for column in batch.columns)):
-                if bucket != now and keys:
-                    yield work(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(ids), np.int64))
-                    keys, ids = [], []
-                now = bucket
-                keys.append(key)
-                ids.append(owner)
-        if keys:
-            yield work(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(ids), np.int64))
+        for rows in by_bucket(batches):
+            keys = _keys_of([r[0] for r in rows], key_bytes)
+            yield work(keys, np.frombuffer(b"".join(r[1] for r in rows), np.int64))
 
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 

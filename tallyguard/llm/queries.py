@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyguard.llm.exact_dedup import exact_duplicates
 from tallyguard.llm.jaccard_join import similar_documents
 from tallyguard.llm.language_id import identify_languages
 from tallyguard.llm.packing import pack_documents
 from tallyguard.llm.sharding import shard_documents
+from tallyguard.llm.suffix_dedup import repeated_bytes
 from tallyguard.llm.token_counts import token_counts
 from tallyguard.operators.materialise import shared_folder
 from tallyguard.sources.tables import read_table
@@ -48,6 +50,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), SHARDS, maps)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"]
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+        "spans",
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -55,6 +72,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 LLM_ORACLES: dict[str, str] = {

@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyguard.llm.decontamination import contaminations
 from tallyguard.llm.exact_dedup import exact_duplicates
+from tallyguard.llm.html_text import extract_text
 from tallyguard.llm.jaccard_join import similar_documents
 from tallyguard.llm.language_id import identify_languages
 from tallyguard.llm.packing import pack_documents
@@ -33,6 +35,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), model, TOKEN_LIMIT)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return contaminations(documents, read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(read_table(spark, sf_dir, "pages"), name="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = f"{shared_folder(spark)}/slot-maps/{uuid.uuid4()}"
     return shard_documents(read_table(spark, sf_dir, "documents"), SHARDS, maps)
@@ -68,9 +80,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
 }

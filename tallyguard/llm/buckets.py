@@ -53,7 +53,7 @@ def to_blocks(keys: np.ndarray, ids: np.ndarray, buckets: int, key_bytes: int =
     )
 
 
-def _keys_of(blocks: list[bytes], key_bytes: int) -> np.ndarray:
+def keys_of_blocks(blocks: list[bytes], key_bytes: int) -> np.ndarray:
     low = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, key_bytes)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :key_bytes] = low
@@ -76,6 +76,22 @@ def by_bucket(
         yield rows
 
 
+def numbered_buckets(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[int, list[tuple]]]:
+    """The number and the rows of each bucket, from batches that are sorted by bucket."""
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            if bucket != now and rows:
+                yield now, rows
+                rows = []
+            now = bucket
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
 def per_bucket(
     blocks: DataFrame,
     work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch],
@@ -86,7 +102,7 @@ def per_bucket(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_bucket(batches):
-            keys = _keys_of([r[0] for r in rows], key_bytes)
+            keys = keys_of_blocks([r[0] for r in rows], key_bytes)
             yield work(keys, np.frombuffer(b"".join(r[1] for r in rows), np.int64))
 
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

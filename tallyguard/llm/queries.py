@@ -16,6 +16,7 @@ from tallyguard.llm.jaccard_join import similar_documents
 from tallyguard.llm.language_id import identify_languages
 from tallyguard.llm.packing import pack_documents
 from tallyguard.llm.sharding import shard_documents
+from tallyguard.llm.substring_dedup import near_duplicate_passages
 from tallyguard.llm.suffix_dedup import repeated_bytes
 from tallyguard.llm.token_counts import token_counts
 from tallyguard.operators.materialise import shared_folder
@@ -77,6 +78,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +92,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 LLM_ORACLES: dict[str, str] = {

@@ -86,6 +86,16 @@ class SpanHashes:
         return mix((self.sums[width:] - self.sums[:count]) * self.back[:count], 2)
 
 
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of ``width`` values from every place that has so many."""
+    span = 1
+    while span * 2 <= width:
+        values = np.minimum(values[: max(0, len(values) - span)], values[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(values[: max(0, len(values) - rest)], values[rest:]) if rest else values
+
+
 def words(content: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-the-last byte of every word, and the text it is in. Words end with the text."""
     n = len(content)

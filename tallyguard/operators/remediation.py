@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions.text import SPACE, explode_found, let
 from tallyguard.operators.findings import rules_per_table
-from tallyguard.operators.skew import hot_key_join
+from tallyguard.operators.materialise import materialise
 from tallyguard.rules.engine import ORDER_KEY
 
 # The statements, with {t} for the table.
@@ -178,7 +178,7 @@ def _patched(table: Column, body: Column, rule_ids: Column) -> Column:
 def patched_statements(
     files: DataFrame, findings: DataFrame, by: Sequence[str]
 ) -> DataFrame:
-    """(by, table_key, table_name, relative_path, full_text, statement_count, patched_ddl).
+    """(by, table_key, table_name, relative_path, full_text, patched_ddl).
 
     One row per table with findings whose CREATE TABLE is found in the .sql files of its database;
     the first statement in file order is the one that is rewritten.
@@ -200,7 +200,6 @@ def patched_statements(
                 F.struct("relative_path", "full_text", "body"),
                 F.struct("relative_path", "stmt_pos"),
             ).alias("s"),
-            F.count("*").alias("statement_count"),
         )
     )
     # both sides have one row per (database, table)
@@ -210,7 +209,6 @@ def patched_statements(
         "table_name",
         "s.relative_path",
         "s.full_text",
-        "statement_count",
         _patched(F.col("table_name"), F.col("s.body"), F.col("rule_ids")).alias("patched_ddl"),
     )
 
@@ -223,20 +221,15 @@ def patched_files(
     A statement is rewritten wherever the same text occurs. What is gathered per file are the
     statements of that file, never more than its own text.
     """
-    patches = patched_statements(files, findings, by).select(
-        *by, "table_key", "full_text", "statement_count", "patched_ddl"
-    )
-    statements = create_statements(files, by).select(
-        *by, "relative_path", "table_key", "full_text"
-    )
-    # a table name may occur in any share of the files
-    hits = hot_key_join(
-        statements.distinct(),
-        patches,
-        [*by, "table_key", "full_text"],
-        F.col("relative_path"),
-        "statement_count",
+    text_key = F.sha2("full_text", 256).alias("text_key")
+    # stored once: it holds the whole audit, and the join below can then split a frequent table name
+    patches = materialise(
+        patched_statements(files, findings, by).select(
+            *by, "table_key", text_key, "full_text", "patched_ddl"
+        )
     )
+    statements = create_statements(files, by).select(*by, "relative_path", "table_key", text_key)
+    hits = statements.distinct().join(patches, [*by, "table_key", "text_key"])
     per_file = hits.groupBy(*by, "relative_path").agg(
         F.array_sort(F.collect_list(F.struct("full_text", "patched_ddl"))).alias("patches")
     )

@@ -237,12 +237,19 @@ _DEFAULTS = {
 }
 
 
+# Settings of default database ports, and of rate limits that are switched off.
+DEFAULT_PORTS = ["port=3306", "port:3306", "port=5432", "port:5432", "port=27017", "port:27017"]
+UNLIMITED_RATES = [
+    "ratelimit=0", "ratelimit=false", "rate_limit=0", "rate_limit=false", "ratelimiting=false",
+]
+
+
 def _open_binding(s: Scope) -> Column:
     return contains_any(s.line["squeezed_lower"], ["bind_address=0.0.0.0", "bind=0.0.0.0"])
 
 
 def _default_port(s: Scope) -> Column:
-    return s.line["squeezed_lower"].rlike("port[=:](?:3306|5432|27017)")
+    return contains_any(s.line["squeezed_lower"], DEFAULT_PORTS)
 
 
 CBN_RULES: list[Rule] = [
@@ -301,9 +308,7 @@ CBN_RULES: list[Rule] = [
         CYBERSECURITY,
         "MEDIUM",
         LINE,
-        lambda s: s.line["squeezed_lower"].rlike(
-            "ratelimit=(?:0|false)|rate_limit=(?:0|false)|ratelimiting=false"
-        ),
+        lambda s: contains_any(s.line["squeezed_lower"], UNLIMITED_RATES),
         "Rate limiting appears to be disabled.",
         "Implement API rate limiting. CBN guidelines require protection against brute-force and"
         " DDoS attacks.",

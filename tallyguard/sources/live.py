@@ -5,26 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+_COLUMNS = "table_name string, col_ord int, name string, data_type string, is_nullable boolean"
 
 
 def live_columns(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, col_ord, name, data_type, is_nullable) of the given frames.
 
-    Only the schemas are looked at, so the size is the number of columns.
+    Only the schemas are looked at, so the size is the number of columns, a row each.
     """
     rows = [
-        F.struct(
-            F.lit(table).alias("table_name"),
-            F.lit(position).alias("col_ord"),
-            F.lit(field.name).alias("name"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
-            F.lit(field.nullable).alias("is_nullable"),
-        )
+        (table, position, field.name, field.dataType.simpleString(), field.nullable)
         for table, frame in frames.items()
         for position, field in enumerate(frame.schema.fields)
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.createDataFrame(rows, _COLUMNS)
 
 
 def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:

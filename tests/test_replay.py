@@ -1,15 +1,13 @@
-"""Replay, numbering and skew joins against sequential models."""
+"""Replay of chains whose result is known, numbering, and Merkle roots."""
 
 from __future__ import annotations
 
 import hashlib
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyguard.operators import skew
 from tallyguard.operators.extraction import with_tables
 from tallyguard.operators.merkle import EMPTY_ROOT, merkle_root, root_of_array
 from tallyguard.operators.numbering import number_rows
@@ -23,52 +21,64 @@ from tallyguard.operators.replay import (
 from tallyguard.rules.catalog import SCHEMA_RULES
 
 
-def _statements(rng: random.Random) -> str:
-    table, column = rng.choice(["t", "T", "ledger"]), rng.choice(["a", "B", "b", "c"])
-    return rng.choice(
-        [
-            f"CREATE TABLE {table} ({column} INT, z TEXT NOT NULL, {column.upper()} DATE);",
-            f"CREATE TABLE {table} (a INT);",
-            f"ALTER TABLE {table} ADD COLUMN {column} T{rng.randint(0, 9)};",
-            f'alter table "{table}" add "{column}" T{rng.randint(0, 9)}, add q X;',
-            f"ALTER TABLE {table} DROP COLUMN {column};",
-            f"ALTER TABLE `{table}` DROP {column};",
-        ]
-    )
-
-
-def _fold(files: dict[str, str]) -> dict[str, list[tuple[str, str]]]:
-    """The final columns (name, type) per table, by applying the files one after the other."""
-    state: dict[str, list[list[str]]] = {}
-    for path in sorted(files):
-        text = files[path]
-        for name, body in re.findall(r"CREATE TABLE (\w+) \((.*?)\);", text):
-            state[name.lower()] = [part.split()[:2] for part in body.split(",")]
-        for name, column, kind in re.findall(r"(?i)ALTER\s+TABLE\s+([^\s;]+)\s+ADD\s+(?:COLUMN\s+)?([^\s;]+)\s+([^\s;,]+)", text):
-            columns = state.get(name.lower().strip('"`'))
-            if columns is None:
-                continue
-            column = column.strip('"`')
-            same = [c for c in columns if c[0].lower() == column.lower()]
-            if same:
-                same[0][1] = kind
-            else:
-                columns.append([column, kind])
-        for name, column in re.findall(r"(?i)ALTER\s+TABLE\s+([^\s;]+)\s+DROP\s+(?:COLUMN\s+)?([^\s;,]+)", text):
-            key = name.lower().strip('"`')
-            if key in state:
-                gone = column.lower().strip('"`')
-                state[key] = [c for c in state[key] if c[0].lower() != gone]
-    return {t: [tuple(c) for c in columns] for t, columns in state.items()}
+class Chain:
+    """Migration files of one database, written together with the schema that they lead to.
+
+    Within a file all CREATE statements count first, then what is added, then what is dropped.
+    """
+
+    def __init__(self, rng: random.Random):
+        self.files, self.tables = {}, {}
+        for n in range(rng.randint(1, 9)):
+            steps = [self._step(rng) for _ in range(rng.randint(1, 4))]
+            self.files[f"{n:03d}.sql"] = "\n".join(text for *_, text in steps)
+            for phase in ("create", "add", "drop"):
+                for kind, table, content, _ in steps:
+                    if kind == phase:
+                        getattr(self, phase)(table, content)
+
+    @staticmethod
+    def _step(rng: random.Random) -> tuple:
+        table, column, kind = rng.choice(["t", "T", "ledger"]), rng.choice(["a", "B", "b", "c"]), f"T{rng.randint(0, 9)}"
+        # a column twice in one body: both are kept as written
+        twice = [(column, "INT"), ("z", "TEXT"), (column.upper(), "DATE")]
+        return rng.choice(
+            [
+                ("create", table, twice, f"CREATE TABLE {table} ({column} INT, z TEXT NOT NULL, {column.upper()} DATE);"),
+                ("create", table, [("a", "INT")], f"CREATE TABLE {table} (a INT);"),
+                ("add", table, (column, kind), f"ALTER TABLE {table} ADD COLUMN {column} {kind};"),
+                ("add", table, (column, kind), f'alter table "{table}" add "{column}" {kind}, add q X;'),
+                ("drop", table, column, f"ALTER TABLE {table} DROP COLUMN {column};"),
+                ("drop", table, column, f"ALTER TABLE `{table}` DROP {column};"),
+            ]
+        )
+
+    def create(self, table: str, columns: list[tuple[str, str]]) -> None:
+        self.tables[table.lower()] = list(columns)
+
+    def add(self, table: str, column: tuple[str, str]) -> None:
+        columns = self.tables.get(table.lower(), [])
+        names = [name.lower() for name, _ in columns]
+        if column[0].lower() in names:
+            at = names.index(column[0].lower())
+            columns[at] = (columns[at][0], column[1])
+        else:
+            columns.append(column)
+
+    def drop(self, table: str, column: str) -> None:
+        columns = self.tables.get(table.lower(), [])
+        columns[:] = [c for c in columns if c[0].lower() != column.lower()]
 
 
 @pytest.fixture(scope="module")
-def chains():
+def made():
     rng = random.Random(23)
-    return {
-        f"db{i}": {f"{n:03d}.sql": "\n".join(_statements(rng) for _ in range(rng.randint(1, 4))) for n in range(rng.randint(1, 9))}
-        for i in range(40)
-    }
+    return {f"db{i}": Chain(rng) for i in range(40)}
+
+
+@pytest.fixture(scope="module")
+def chains(made):
+    return {db: chain.files for db, chain in made.items()}
 
 
 @pytest.fixture(scope="module")
@@ -79,26 +89,23 @@ def parsed(spark, chains):
     return with_tables(with_engine(spark.createDataFrame(rows, "db string, relative_path string, content string")))
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 2])
-def test_replay_equals_a_fold(parsed, chains, monkeypatch, hot_rows):
-    # with a limit of two rows nearly every key counts as hot and is spread
-    monkeypatch.setattr(skew.hot_key_join, "__defaults__", (None, 4, hot_rows))
+def test_replay_gives_the_known_schema(parsed, made):
     tables, columns = replay(parsed, ["db"])
     got = {(r["db"], r["table_key"]): [] for r in tables.collect()}
     rows = numbered_columns(columns, ["db"]).orderBy("db", "table_key", "col_ord").collect()
     for r in rows:
         got[r["db"], r["table_key"]].append((r["name"], r["data_type"]))
         assert r["col_ord"] == len(got[r["db"], r["table_key"]]) - 1
-    expected = {(db, t): cols for db, files in chains.items() for t, cols in _fold(files).items()}
+    expected = {(db, t): cols for db, chain in made.items() for t, cols in chain.tables.items()}
     assert got == expected
 
 
-def test_final_schema_audit(parsed, chains):
+def test_final_schema_audit(parsed, chains, made):
     tables, columns = replay(parsed, ["db"])
     found = final_schema_findings(parsed, tables, columns, SCHEMA_RULES, ["db"]).collect()
     assert {r["relative_path"] for r in found} == {"reconstituted_final_schema.sql"}
     multi = {db for db, files in chains.items() if len(files) > 1}
-    ledgers = {db for db in multi if "ledger" in _fold(chains[db])}
+    ledgers = {db for db in multi if "ledger" in made[db].tables}
     for rule in ("FIN-IMM-001", "FIN-IMM-002", "FIN-CBN-001"):
         assert {r["db"] for r in found if r["rule_id"] == rule} == ledgers
     assert {r["db"] for r in chain_facts(parsed, ["db"]).collect()} == multi
@@ -140,13 +147,3 @@ def test_merkle(spark, n):
 def test_merkle_of_nothing(spark):
     [row] = merkle_root(spark.range(0).select("id", F.lit("x").alias("c")), ["id"], "c").collect()
     assert (row["leaf_count"], row["merkle_root"]) == (0, EMPTY_ROOT)
-
-
-@pytest.mark.parametrize("hot_rows", [10, 1000])
-def test_hot_key_join(spark, hot_rows):
-    many = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    one = many.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    joined = skew.hot_key_join(many, one, ["k"], F.col("id"), "n", hot_rows=hot_rows)
-    assert joined.columns == ["k", "id", "top"]
-    expected = many.join(one.drop("n"), "k")
-    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, expected.collect()))

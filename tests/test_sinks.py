@@ -68,7 +68,7 @@ def test_sarif(audited, tmp_path):
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == [r.rule_id for r in SCHEMA_RULES]
     assert len(run["results"]) == 18
     first = run["results"][0]
-    assert first["level"] == "error" and first["message"]["text"].endswith("(Table: ledger_entries)")
+    assert first["level"] == "error" and first["message"]["text"].endswith("(Table: fee_journal)")
     place = first["locations"][0]["physicalLocation"]
     assert place == {"artifactLocation": {"uri": "a/schema.sql"}, "region": {"startLine": 1}}
 
@@ -84,8 +84,8 @@ def test_remediation_script(audited, tmp_path):
     assert "-- Total Findings: 18\n" in script
     assert (
         "-- [FIN-DE-001] Missing Debit/Credit Balance Constraint\n"
-        "-- Risk: CRITICAL | Table: ledger_entries\n"
-        "ALTER TABLE ledger_entries ADD CONSTRAINT chk_ledger_entries_balance_non_negative"
+        "-- Risk: CRITICAL | Table: fee_journal\n"
+        "ALTER TABLE fee_journal ADD CONSTRAINT chk_fee_journal_balance_non_negative"
         " CHECK (debit >= 0 AND credit >= 0);\n\n"
     ) in script
     assert script.count("CREATE TRIGGER trg_prevent_mod_") == 3
@@ -97,13 +97,13 @@ def test_fixed_schema(files, audited, tmp_path):
     document = fixed_schema(files, findings_of(audited, ["db"]), ["db"])
     write_document(document, str(tmp_path / "schema"))
     text = _text(tmp_path / "schema")
-    assert "-- nothing\n\nCREATE TABLE users (" in text
-    assert "    bvn_encrypted BYTEA, -- identity number\n    nin_encrypted BYTEA" in text
-    ledger = text[text.index("CREATE TABLE ledger_entries"):text.index("CREATE TABLE transaction_logs")]
+    assert "-- nothing\n\n-- A clinic" in text
+    assert "    bvn_encrypted BYTEA, -- from the old register\n    nin_encrypted BYTEA" in text
+    ledger = text[text.index("CREATE TABLE fee_journal"):text.index("CREATE TABLE payout_log")]
     assert "created_at TIMESTAMP WITH TIME ZONE DEFAULT CURRENT_TIMESTAMP" in ledger
-    assert "CONSTRAINT chk_ledger_entries_balance CHECK (debit >= 0 AND credit >= 0)\n);" in ledger
-    assert text.index("prevent_ledger_entries_modification") < text.index("prevent_transaction_logs_modification")
-    assert "model WalletLedger" not in text and "prevent_WalletLedger_modification" in text
+    assert "CONSTRAINT chk_fee_journal_balance CHECK (debit >= 0 AND credit >= 0)\n);" in ledger
+    assert text.index("prevent_fee_journal_modification") < text.index("prevent_payout_log_modification")
+    assert "model ParkingWallet" not in text and "prevent_ParkingWallet_modification" in text
     assert text.rstrip().endswith("performed_at TIMESTAMP WITH TIME ZONE DEFAULT CURRENT_TIMESTAMP\n);")
 
 

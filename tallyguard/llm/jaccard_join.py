@@ -1,9 +1,11 @@
 """Exact Jaccard join of word-shingle sets, and the classes that its links make.
 
 Sets are ordered lists of shingle hashes, in one order for all: shingles that are frequent in the
-corpus come last. Two sets that link share one of their first ``n - ceil(t n) + 1`` shingles. Of the
-sets that have such a shingle, the one with the smallest id is the leader; all of them are compared
-in the leader's unit, so no pair of sets travels as a pair.
+corpus come last. From the sizes of two sets follows how many of their leading shingles they have to
+share to be able to link. Index lists of shingles that few sets lead with give pairs and their counts;
+of the others only their number per set is needed to keep the bound exact, and sets that could link
+through them alone are joined to the list's first set. Sets that these candidates connect form a unit,
+and each set travels to its unit once; no pair of sets travels as a pair.
 
 Inside a unit, sets are sorted by size, and each shingle has the list of the places of its sets. For
 a set, the lists give its overlap with all others; places of sets that are too large or too small are
@@ -11,8 +13,8 @@ skipped as blocks of the list. A set that is much like the one computed before t
 overlaps, and only the lists of shingles in which the two differ are read. Links leave a unit as a
 forest, which has the same classes.
 
-Units of more than ``UNIT_SETS`` sets are dealt into salted parts, and every two parts meet in a unit of
-their own, so that no task holds more than two parts.
+Units of more than ``UNIT_SHINGLES`` shingles are dealt into salted parts, and every two parts meet in a
+unit of their own, so that no task holds more than two parts.
 """
 
 from __future__ import annotations
@@ -25,16 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.llm import texts as tx
-from tallyguard.llm.buckets import BLOCKS, bucket_count, per_bucket, runs_of, to_blocks
+from tallyguard.llm.buckets import bucket_count, runs_of
 from tallyguard.llm.components import components
+from tallyguard.llm.copies import NULL_ID
+from tallyguard.llm.shared import shared_keys
 from tallyguard.operators.materialise import materialise
 
 SHINGLE_WORDS = 4
 THRESHOLD = 85
 SKETCH_CELLS = 1 << 19
 SKETCH_SLICES = 32
-UNIT_SETS = 2000
-_NULL_ID = -(1 << 63)
+UNIT_SHINGLES = 2_000_000
+# index lists up to this length are turned into pairs
+SHORT_LIST = 16
+KEY_BYTES = 5
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -100,78 +106,104 @@ def _sets_of(part: pa.RecordBatch, classes: np.ndarray, size: int) -> tuple[np.n
     return tokens, np.searchsorted(text, np.arange(part.num_rows + 1))
 
 
-def _needed(n: int, threshold: int) -> int:
-    """How many leading shingles one of which a linked set has to share."""
-    return n + threshold * n // -100 + 1
+def leading(n: int, threshold: int) -> int:
+    """How many leading shingles of a set of ``n`` are looked at.
+
+    Of two linked sets, one of the first n - ceil(t n) + 1 would have to be shared; a twentieth more
+    makes it a twentieth more that have to be.
+    """
+    return n - -(-threshold * n // 100) + 1 + n // 20
 
 
-def _sketches(docs: DataFrame, classes, size: int, threshold: int) -> DataFrame:
-    """(id, n, d1, d2, first): size and digests of each set, and its leading shingles."""
+def _sizes(docs: DataFrame, classes, size: int) -> DataFrame:
+    """(id, n, d1, d2): the size and two digests of each set."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.parts(batches, 1):
             tokens, bounds = _sets_of(part, classes.value, size)
-            sizes = np.diff(bounds)
             sums = [np.append(np.uint64(0), np.cumsum(tx.mix(tokens, seed))) for seed in (11, 12)]
-            lead = np.array([_needed(n, threshold) if n else 0 for n in sizes.tolist()], np.int64)
-            ends = np.concatenate([[0], np.cumsum(lead)])
-            take = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], lead)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array(sizes, pa.int64()),
+                    pa.array(np.diff(bounds), pa.int64()),
                     *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums),
-                    tx.binaries(tokens[take], ends),
                 ],
-                names=["id", "n", "d1", "d2", "first"],
+                names=["id", "n", "d1", "d2"],
             )
 
-    return docs.mapInArrow(sketch, "id long, n long, d1 long, d2 long, first binary")
+    return docs.mapInArrow(measure, "id long, n long, d1 long, d2 long")
 
 
-def _leaders(sets: DataFrame) -> DataFrame:
-    """(leader, id): each set with the leader of every leading shingle that it shares."""
-    buckets = bucket_count(sets)
+def _index(docs: DataFrame, classes, size: int, threshold: int) -> DataFrame:
+    """(token, id): the index lists of leading shingles that several rows have."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys = part.column(1).to_pylist()
-                owners = np.repeat(part.column(0).to_numpy(), [len(k) // 8 for k in keys])
-                yield to_blocks(np.frombuffer(b"".join(keys), np.uint64), owners, buckets)
-
-    def lead(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first, length = runs_of(keys)
-        shared = np.repeat(length > 1, length)
-        pairs = np.stack([np.repeat(ids[first], length)[shared], ids[shared]], axis=1)
-        pairs = np.unique(pairs, axis=0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["leader", "id"]
-        )
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in tx.parts(iter([batch]), 1):
+            tokens, bounds = _sets_of(part, classes.value, size)
+            lead = np.array([leading(n, threshold) if n else 0 for n in np.diff(bounds).tolist()], np.int64)
+            ends = np.cumsum(lead)
+            take = np.arange(lead.sum()) + np.repeat(bounds[:-1] - (ends - lead), lead)
+            yield np.repeat(part.column(0).to_numpy(), lead), tokens[take]
 
-    blocks = sets.select("id", "first").mapInArrow(deal, BLOCKS)
-    return per_bucket(blocks, lead, "leader long, id long").distinct()
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            owner = np.repeat(batch.column(0).to_numpy(), [len(k) // 8 for k in keys])
+            tokens = np.frombuffer(b"".join(keys), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "id"])
+
+    shared = shared_keys(docs, keys_of, bucket_count(docs), KEY_BYTES)
+    return shared.mapInArrow(unfold, "token long, id long")
+
+
+def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): edges that connect all sets that may link. ``sets`` has (id, n), distinct sets only."""
+    index = materialise(index.join(sets.select("id"), "id").select("token", "id").distinct())
+    lists = index.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
+    short = index.join(lists.filter(F.col("sets") <= SHORT_LIST).select("token"), "token")
+    long = index.join(lists.filter(F.col("sets") > SHORT_LIST).select("token"), "token")
+    in_long = long.groupBy("id").agg(F.count("*").alias("in_long"))
+    facts = materialise(sets.select("id", "n").join(in_long, "id", "left").fillna(0, ["in_long"]))
+
+    counted = (
+        short.withColumnRenamed("id", "a")
+        .join(short.withColumnRenamed("id", "b"), "token")
+        .filter("a < b")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("common"))
+    )
+    lead = {s: f"(n{s} - (({threshold} * n{s} + 99) div 100) + 1 + (n{s} div 20))" for s in "ab"}
+    overlap = f"(({threshold} * (na + nb) + {99 + threshold}) div {100 + threshold})"
+    may_link = (
+        f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
+        f" AND common + least(la, lb) >= least({lead['a']} - na, {lead['b']} - nb) + {overlap}"
+    )
+    pairs = (
+        counted.join(facts.toDF("a", "na", "la"), "a")
+        .join(facts.toDF("b", "nb", "lb"), "b")
+        .filter(may_link)
+        .select("a", "b")
+    )
+    # a set links through long lists alone only if it has enough of them
+    by_long = long.join(facts.filter(f"in_long >= 1 + ({threshold} * n) div 2000").select("id"), "id")
+    heads = materialise(by_long.groupBy("token").agg(F.min("id").alias("a")))
+    stars = by_long.join(heads, "token").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    return pairs.union(stars)
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """(id, units): the units of each set; large ones are dealt into parts that meet in pairs."""
-    sizes = members.groupBy("leader").agg(F.count("*").alias("sets"))
-    parts = F.ceil(F.col("sets") / UNIT_SETS).cast("int")
+    """(id, unit, n) -> (id, parts): the unit of each set; large ones have parts that meet in pairs."""
+    sizes = members.groupBy("unit").agg(F.sum("n").alias("total"))
+    parts = F.ceil(F.col("total") / UNIT_SHINGLES).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    units = members.join(sizes, "leader").withColumn("parts", parts).select(
-        "id",
-        "leader",
-        own.alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
-    )
-    return units.groupBy("id").agg(
-        F.collect_list(
-            F.struct("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        ).alias("units")
+    dealt = members.join(sizes, "unit").withColumn("parts", parts).withColumn("own", own)
+    meeting = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda other: F.struct(
+            "unit", F.least("own", other).alias("i"), F.greatest("own", other).alias("j")
+        ),
     )
+    return dealt.select("id", meeting.alias("units"))
 
 
 def unit_links(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -239,7 +271,7 @@ def unit_links(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, thresh
 
 
 def _unit_edges(sets: DataFrame, threshold: int) -> DataFrame:
-    """(leader, i, j, id, tokens) -> a forest of links (a, b)."""
+    """(unit, i, j, id, tokens) -> a forest of links (a, b)."""
 
     def link(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         ids = np.array([r[0] for r in rows], np.int64)
@@ -265,7 +297,7 @@ def _unit_edges(sets: DataFrame, threshold: int) -> DataFrame:
         if len(rows) > 1:
             yield link(rows)
 
-    unit = ["leader", "i", "j"]
+    unit = ["unit", "i", "j"]
     return sets.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "a long, b long")
 
 
@@ -288,15 +320,17 @@ def similar_documents(
     """
     spark = docs.sparkSession
     source = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("t")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("t")
     )
     classes = spark.sparkContext.broadcast(frequency_classes(source, "t", shingle_words))
-    rows = materialise(_sketches(source, classes, shingle_words, threshold))
+    rows = materialise(_sizes(source, classes, shingle_words))
     equal = ["n", "d1", "d2"]
-    distinct_sets = (
-        rows.filter("n > 0").groupBy(*equal).agg(F.min("id").alias("id"), F.any_value("first").alias("first"))
+    distinct_sets = materialise(rows.filter("n > 0").groupBy(*equal).agg(F.min("id").alias("id")))
+    index = _index(source, classes, shingle_words, threshold)
+    connected = components(_candidates(index, distinct_sets, threshold))
+    members = connected.join(distinct_sets, connected["node"] == distinct_sets["id"]).select(
+        "id", F.col("component").alias("unit"), "n"
     )
-    members = materialise(_leaders(distinct_sets))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.parts(batches, 1):
@@ -305,25 +339,25 @@ def similar_documents(
                 [part.column(0), part.column(2), tx.binaries(tokens, bounds)], names=["id", "units", "tokens"]
             )
 
-    unit_type = "array<struct<leader:bigint,i:int,j:int>>"
+    unit_type = "array<struct<unit:bigint,i:int,j:int>>"
     tokens_of = (
         source.join(_units(members), "id")
         .select("id", "t", "units")
         .mapInArrow(sets, f"id long, units {unit_type}, tokens binary")
         .select("id", "tokens", F.explode("units").alias("u"))
-        .select("u.leader", "u.i", "u.j", "id", "tokens")
+        .select("u.unit", "u.i", "u.j", "id", "tokens")
     )
     links = _unit_edges(tokens_of, threshold)
     # equal sets are linked through the smallest id that has the set
-    smallest = materialise(distinct_sets.select(*equal, F.col("id").alias("b")))
+    smallest = distinct_sets.withColumnRenamed("id", "b")
     copies = rows.select("id", *equal).join(smallest, equal).select(F.col("id").alias("a"), "b")
     classes_of = components(links.union(copies))
     return (
         rows.select("id", "n")
         .join(classes_of.withColumnRenamed("node", "id"), "id", "left")
         .select(
-            F.nullif("id", F.lit(_NULL_ID)).alias(id_col),
+            F.nullif("id", F.lit(NULL_ID)).alias(id_col),
             F.col("n").alias("n_shingles"),
-            F.nullif(F.coalesce("component", "id"), F.lit(_NULL_ID)).alias("component_id"),
+            F.nullif(F.coalesce("component", "id"), F.lit(NULL_ID)).alias("component_id"),
         )
     )

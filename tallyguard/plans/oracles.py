@@ -464,12 +464,34 @@ _TABLES = {
           CASE WHEN doc_id % 3 = 1 THEN concat('docs/', CAST(doc_id AS STRING), '.sql')
                ELSE concat(CASE WHEN b % 2 = 0 THEN 'a/' ELSE '' END, 'docs/', CAST(doc_id AS STRING), '.sql') END AS relative_path,
           md5(text) AS content_md5
-        FROM d WHERE doc_id % 3 <> 0 AND b % 7 <> 3 AND b % 11 <> 5""",
+        FROM d WHERE doc_id % 3 <> 0 AND b % 7 <> 3 AND b % 11 <> 5 AND b % 13 <> 6""",
     "archive_rejects": """SELECT concat(CAST(b AS STRING), CASE WHEN b % 11 = 5 THEN '.rar'
             WHEN b % 2 = 0 THEN '.zip' ELSE '.TAR.GZ' END) AS archive,
           CASE WHEN b % 11 = 5 THEN 'unsupported archive format'
-               ELSE 'unsafe member: x/../../evil.sql' END AS reason
-        FROM (SELECT DISTINCT doc_id // 50 AS b FROM documents) WHERE b % 11 = 5 OR b % 7 = 3""",
+               WHEN b % 13 = 6 AND b % 2 = 1 THEN 'unreadable archive: EOFError'
+               WHEN b % 7 = 3 THEN 'unsafe member: x/../../evil.sql'
+               ELSE 'unreadable archive: BadZipFile' END AS reason
+        FROM (SELECT DISTINCT doc_id // 50 AS b FROM documents)
+        WHERE b % 11 = 5 OR b % 7 = 3 OR b % 13 = 6""",
+    "live_schema_pii": """WITH given AS (
+          SELECT table_name, ordinal_position - 1 AS col_ord, column_name AS name
+          FROM information_schema.columns
+          WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem',
+            'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')),
+        named AS (SELECT * FROM (VALUES
+          ('people_view', 0, 'bvn', 'UNENCRYPTED_BVN_NIN', true),
+          ('people_view', 1, 'national_id_hash', 'SECURE_ENCRYPTED_PII', false),
+          ('people_view', 2, 'card_pan', 'UNENCRYPTED_CARD_PAN', true),
+          ('cards_view', 0, 'nin', 'SECURE_ENCRYPTED_PII', false),
+          ('cards_view', 1, 'pan_token', 'SECURE_TOKENIZED_CARD', false),
+          ('cards_view', 2, 'total', 'NON_SENSITIVE', false))
+          AS t(table_name, col_ord, name, classification, is_violation))
+        SELECT table_name, CAST(col_ord AS INTEGER) AS col_ord, name,
+          CASE WHEN regexp_matches(lower(name), 'bvn|nin|national_id') THEN 'UNENCRYPTED_BVN_NIN'
+               WHEN regexp_matches(lower(name), 'card_number|pan|cvv') THEN 'UNENCRYPTED_CARD_PAN'
+               ELSE 'NON_SENSITIVE' END AS classification,
+          regexp_matches(lower(name), 'bvn|nin|national_id|card_number|pan|cvv') AS is_violation
+        FROM given UNION ALL SELECT table_name, CAST(col_ord AS INTEGER), name, classification, is_violation FROM named""",
     "schema_findings": _WITH_FOUND + "SELECT * EXCLUDE (db, k) FROM found",
     "findings_of_framework": _WITH_FOUND
     + f"""SELECT CASE rule_id WHEN 'FIN-IMM-002' THEN 0 ELSE 1 END AS rule_ord, rule_id, relative_path, table_ord

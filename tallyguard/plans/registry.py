@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import warnings
 import zipfile
 from collections.abc import Callable
 
@@ -68,7 +69,8 @@ from tallyguard.rules.catalog import EMAIL, LINE_RULES, NDPA_RULES, SCHEMA_RULES
 from tallyguard.rules.model import TABLE, Rule, by_framework
 from tallyguard.sources.archives import archive_members, rejected_archives
 from tallyguard.sources.files import from_bytes, with_engine
-from tallyguard.sources.tables import read_table, spread
+from tallyguard.sources.live import live_columns
+from tallyguard.sources.tables import TABLES, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -338,7 +340,11 @@ def _pack(bucket: pd.DataFrame) -> pd.DataFrame:
     data = io.BytesIO()
     if number % 2 == 0:
         name = f"{number}.zip"
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        with warnings.catch_warnings(), zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            warnings.simplefilter("ignore")
+            if number % 8 == 4:
+                # a path that comes again: the last one counts
+                archive.writestr(members[0][0], b"an earlier version")
             for path, content in members:
                 archive.writestr(path, content)
     else:
@@ -348,9 +354,17 @@ def _pack(bucket: pd.DataFrame) -> pd.DataFrame:
                 info = tarfile.TarInfo(path)
                 info.size = len(content)
                 archive.addfile(info, io.BytesIO(content))
+    packed = data.getvalue()
+    if number % 13 == 6:
+        if number % 2 == 0:
+            # another checksum in the directory entry of the first member
+            at = packed.index(b"PK\x01\x02") + 16
+            packed = packed[:at] + bytes(b ^ 255 for b in packed[at : at + 4]) + packed[at + 4 :]
+        else:
+            packed = packed[: len(packed) // 2]
     if number % 11 == 5:
         name = f"{number}.rar"
-    return pd.DataFrame({"archive": [name], "content": [data.getvalue()]})
+    return pd.DataFrame({"archive": [name], "content": [packed]})
 
 
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,6 +387,21 @@ def archive_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_archives(_archives(spark, sf_dir))
 
 
+@_query
+def live_schema_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of all given tables, and of two views that name personal data."""
+    frames = {name: read_table(spark, sf_dir, name) for name in TABLES}
+    frames["people_view"] = frames["customer"].selectExpr(
+        "c_custkey AS bvn", "c_name AS national_id_hash", "c_acctbal AS card_pan"
+    )
+    frames["cards_view"] = frames["supplier"].selectExpr(
+        "cast(s_name AS binary) AS nin", "s_suppkey AS pan_token", "s_acctbal AS total"
+    )
+    return classify_columns(live_columns(spark, frames)).select(
+        "table_name", "col_ord", "name", "classification", "is_violation"
+    )
+
+
 # --- schema rules and summaries -----------------------------------------------------------------
 
 
@@ -406,7 +435,7 @@ def findings_of_framework(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def custom_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule of the user: wide tables without a primary key column or with a foreign key."""
+    """A rule of the user: tables of five columns and more that refer to another table."""
     rule = Rule(
         "USER-001",
         "References other tables",

@@ -7,6 +7,7 @@ import posixpath
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from tallyguard.constants import MAX_ARCHIVE_BYTES
 from tallyguard.sources.files import from_bytes
 
 TOO_LARGE = "archive exceeds the size limit"
+TOO_LARGE_UNPACKED = "archive exceeds the size limit when unpacked"
+MAX_UNPACKED_BYTES = 4 * MAX_ARCHIVE_BYTES
 UNSUPPORTED = "unsupported archive format"
 
 
@@ -34,68 +37,54 @@ def _escapes(member: str) -> bool:
     return False
 
 
-class _Archive:
-    """The few operations the two archive families share."""
-
-    def __init__(self, name: str, data: bytes):
-        if name.lower().endswith(".zip"):
-            self._zip = zipfile.ZipFile(io.BytesIO(data))
-            self.names = self._zip.namelist()
-        else:
-            self._zip = None
-            self._tar = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
-            self._infos = self._tar.getmembers()
-            self.names = [info.name for info in self._infos]
-
-    def files(self) -> Iterator[tuple[str, Callable[[], bytes]]]:
-        """(path the member would be unpacked to, reader); unpacking a zip leaves out dots,
-        unpacking a tar resolves them."""
-        if self._zip is not None:
-            for info in self._zip.infolist():
-                if not info.is_dir():
-                    parts = [p for p in info.filename.split("/") if p not in ("", ".", "..")]
-                    yield "/".join(parts), lambda info=info: self._zip.read(info)
+def _zip_members(data: bytes) -> Iterator[tuple[str, str, Callable[[], IO[bytes] | None]]]:
+    """(name, path it is unpacked to, opener) of every file; unpacking leaves out dots."""
+    archive = zipfile.ZipFile(io.BytesIO(data))
+    for info in archive.infolist():
+        parts = [p for p in info.filename.split("/") if p not in ("", ".", "..")]
+        if info.is_dir():
+            yield info.filename, "", lambda: None
         else:
-            for info in self._infos:
-                if info.isfile():
-                    path = posixpath.normpath(info.name)
-                    yield path, lambda info=info: self._tar.extractfile(info).read()
+            yield info.filename, "/".join(parts), lambda info=info: archive.open(info)
 
 
-def _problem(name: str, data: bytes) -> tuple[_Archive | None, str | None]:
-    try:
-        archive = _Archive(name, data)
-    except Exception as error:  # any damage in the container means the whole archive is refused
-        return None, f"unreadable archive: {type(error).__name__}"
-    unsafe = next((m for m in archive.names if _escapes(m)), None)
-    return archive, None if unsafe is None else f"unsafe member: {unsafe}"
-
-
-def _open_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for name, data in zip(batch["archive"], batch["content"], strict=True):
-            archive, problem = _problem(name, data)
-            if problem is not None:
-                continue
-            for member, read in archive.files():
-                yield pd.DataFrame(
-                    {"archive": [name], "relative_path": [member], "content": [read()]}
-                )
+def _tar_members(data: bytes) -> Iterator[tuple[str, str, Callable[[], IO[bytes] | None]]]:
+    """The same for a tar, whose unpacking resolves dots. Links stand for the member they name."""
+    archive = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
+    for info in archive.getmembers():
+        is_text = info.isfile() or info.islnk()
+        path = posixpath.normpath(info.name) if is_text else ""
+        yield info.name, path, lambda info=info: archive.extractfile(info)
 
 
-def _list_problems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        reasons = [
-            _problem(name, data)[1]
-            for name, data in zip(batch["archive"], batch["content"], strict=True)
-        ]
-        yield pd.DataFrame({"archive": batch["archive"], "reason": reasons})
+_CHUNK = 1 << 20
 
 
-def _supported(archives: DataFrame) -> DataFrame:
-    return archives.filter(F.col("length") <= MAX_ARCHIVE_BYTES).filter(
-        F.lower("archive").rlike(r"\.(?:zip|tar\.gz|tgz)\z")
-    )
+def _checked(name: str, data: bytes, max_unpacked: int) -> tuple[dict[str, Callable], str | None]:
+    """The openers of the last member of every path, and what is wrong with the archive.
+
+    Every member is read to its end, a chunk at a time, so damage anywhere, a password or a missing
+    link refuses the archive as a whole, before any of its texts is passed on.
+    """
+    openers: dict[str, Callable] = {}
+    try:
+        members = list((_zip_members if name.lower().endswith(".zip") else _tar_members)(data))
+        unsafe = next((member for member, *_ in members if _escapes(member)), None)
+        if unsafe is not None:
+            return {}, f"unsafe member: {unsafe}"
+        unpacked = 0
+        for _, path, opener in members:
+            if not path:
+                continue
+            openers[path] = opener
+            with opener() as stream:
+                while chunk := stream.read(_CHUNK):
+                    unpacked += len(chunk)
+                    if unpacked > max_unpacked:
+                        return {}, TOO_LARGE_UNPACKED
+    except Exception as error:  # any damage means the whole archive is refused
+        return {}, f"unreadable archive: {type(error).__name__}"
+    return openers, None
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
@@ -108,34 +97,66 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def archive_members(archives: DataFrame) -> DataFrame:
-    """(archive, relative_path, content text) of all members in scope of accepted archives.
+def opened_archives(
+    archives: DataFrame,
+    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_unpacked: int = MAX_UNPACKED_BYTES,
+) -> DataFrame:
+    """(archive, relative_path, content, reason): the members of every archive, in one pass.
 
-    One archive, at most 500 MB, is one unit of work; members stream out one at a time. The scope
-    and UTF-8 tests are those of a directory scan.
+    A refused archive gives a single row, with the reason; an accepted one a row per member, where
+    the last of several members with one path counts. One archive is one unit of work. Its files
+    may have ``max_bytes`` packed and ``max_unpacked`` unpacked; members are held one at a time.
     """
-    opened = (
-        _supported(archives)
-        .select("archive", "content")
-        .mapInPandas(_open_members, "archive string, relative_path string, content binary")
-    )
-    return from_bytes(opened)
 
+    def open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data, reason in zip(
+                batch["archive"], batch["content"], batch["reason"], strict=True
+            ):
+                openers = {}
+                if reason is None:
+                    openers, reason = _checked(name, data, max_unpacked)
+                if reason is not None:
+                    yield pd.DataFrame(
+                        {"archive": [name], "relative_path": [None], "content": [None], "reason": [reason]}
+                    )
+                for path, opener in openers.items():
+                    with opener() as stream:
+                        content = stream.read()
+                    yield pd.DataFrame(
+                        {"archive": [name], "relative_path": [path], "content": [content], "reason": [None]}
+                    )
 
-def rejected_archives(archives: DataFrame) -> DataFrame:
-    """(archive, reason) of the archives that are refused as a whole."""
     known = F.lower("archive").rlike(r"\.(?:zip|tar\.gz|tgz)\z")
-    by_name = archives.select(
-        "archive",
-        F.when(F.col("length") > MAX_ARCHIVE_BYTES, F.lit(TOO_LARGE))
-        .when(~known, F.lit(UNSUPPORTED))
-        .alias("reason"),
+    reason = F.when(F.col("length") > max_bytes, F.lit(TOO_LARGE)).when(~known, F.lit(UNSUPPORTED))
+    # the content of a refused archive is not read
+    listed = archives.select(
+        "archive", F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason")
     )
-    by_content = (
-        _supported(archives)
-        .select("archive", "content")
-        .mapInPandas(_list_problems, "archive string, reason string")
+    return listed.mapInPandas(
+        open_all, "archive string, relative_path string, content binary, reason string"
     )
-    return by_name.unionByName(by_content).filter(F.col("reason").isNotNull())
 
 
+def archive_members(
+    archives: DataFrame,
+    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_unpacked: int = MAX_UNPACKED_BYTES,
+) -> DataFrame:
+    """(archive, relative_path, content text) of all members in scope of accepted archives.
+
+    The scope and UTF-8 tests are those of a directory scan.
+    """
+    opened = opened_archives(archives, max_bytes, max_unpacked)
+    return from_bytes(opened.filter("reason IS NULL").drop("reason"))
+
+
+def rejected_archives(
+    archives: DataFrame,
+    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_unpacked: int = MAX_UNPACKED_BYTES,
+) -> DataFrame:
+    """(archive, reason) of the archives that are refused as a whole."""
+    opened = opened_archives(archives, max_bytes, max_unpacked)
+    return opened.filter("reason IS NOT NULL").select("archive", "reason")

@@ -55,7 +55,7 @@ def _tar(path, members):
             archive.addfile(info, io.BytesIO(text.encode()))
 
 
-def test_archives(spark, tmp_path, monkeypatch):
+def test_archives(spark, tmp_path):
     _zip(tmp_path / "good.zip", {"a.sql": "1", "d/": "", "d/b.yaml": "2", "node_modules/x.js": "3", "a/../c.tf": "4", "n.txt": "5"})
     _zip(tmp_path / "evil.ZIP", {"a.sql": "1", "../x.sql": "2"})
     _tar(tmp_path / "good.tgz", {"./a.sql": "6", "d/x/../b.json": "7"})
@@ -75,11 +75,58 @@ def test_archives(spark, tmp_path, monkeypatch):
         "broken.zip": "unreadable archive: BadZipFile",
         "other.rar": archives.UNSUPPORTED,
     }
-    monkeypatch.setattr(archives, "MAX_ARCHIVE_BYTES", 20)
-    too_large = rejected_archives(found).filter(f"reason = '{archives.TOO_LARGE}'")
+    too_large = rejected_archives(found, max_bytes=20).filter(f"reason = '{archives.TOO_LARGE}'")
     assert too_large.count() == 4
 
 
+def test_archives_that_fail_while_unpacking(spark, tmp_path):
+    _zip(tmp_path / "crc.zip", {"a.sql": "select one", "b.sql": "select two"})
+    data = (tmp_path / "crc.zip").read_bytes()
+    (tmp_path / "crc.zip").write_bytes(data.replace(b"select two", b"select 2!!"))
+    (tmp_path / "cut.zip").write_bytes(data[:-30])
+    _tar(tmp_path / "cut.tgz", {"a.sql": "x" * 5000, "b.sql": "".join(map(chr, range(33, 120))) * 900})
+    whole = (tmp_path / "cut.tgz").read_bytes()
+    (tmp_path / "cut.tgz").write_bytes(whole[: len(whole) // 2])
+    # the flag of an encrypted member, in both of its headers
+    locked = bytearray(data)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(mark) + at] |= 1
+    (tmp_path / "locked.zip").write_bytes(bytes(locked))
+    with zipfile.ZipFile(tmp_path / "bomb.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("a.sql", "0" * 100_000)
+    found = read_archives(spark, str(tmp_path))
+    reasons = {
+        r["archive"].rsplit("/", 1)[1]: r["reason"]
+        for r in rejected_archives(found, max_unpacked=50_000).collect()
+    }
+    assert reasons == {
+        "crc.zip": "unreadable archive: BadZipFile",
+        "cut.zip": "unreadable archive: BadZipFile",
+        "cut.tgz": "unreadable archive: EOFError",
+        "locked.zip": "unreadable archive: RuntimeError",
+        "bomb.zip": archives.TOO_LARGE_UNPACKED,
+    }
+    assert archive_members(found, max_unpacked=50_000).count() == 0
+
+
+def test_repeated_paths_and_links(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "twice.zip", "w") as archive:
+        archive.writestr("a.sql", "old")
+        archive.writestr("a.sql", "new")
+    with tarfile.open(tmp_path / "link.tgz", "w:gz") as archive:
+        info = tarfile.TarInfo("a.sql")
+        info.size = 3
+        archive.addfile(info, io.BytesIO(b"one"))
+        info = tarfile.TarInfo("b.sql")
+        info.type, info.linkname = tarfile.LNKTYPE, "a.sql"
+        archive.addfile(info)
+    rows = archive_members(read_archives(spark, str(tmp_path))).collect()
+    assert {(r["archive"].rsplit("/", 1)[1], r["relative_path"], r["content"]) for r in rows} == {
+        ("twice.zip", "a.sql", "new"), ("link.tgz", "a.sql", "one"), ("link.tgz", "b.sql", "one"),
+    }
+    assert len(rows) == 3
+
+
 def test_catalog(spark):
     spark.createDataFrame([], "bvn string").createOrReplaceTempView("people_view")
     rows = catalog_columns(spark).filter("table_name = 'people_view'").collect()

@@ -573,6 +573,19 @@ _TABLES = {
         found AS (SELECT *, CASE WHEN table_name = '' THEN 'target_table' ELSE table_name END AS named FROM found0)
         SELECT rule_ord, relative_path, table_ord, col_ord, stmt_ord, named AS table_name, statement
         FROM ({_STATEMENT_ROWS})""",
+    "findings_table": _WITH_FOUND
+    + "SELECT rule_id, risk_tier, file_path, table_name, column_name, description, reference FROM found",
+    "remediation_script_lines": f"""{_WITH_FOUND.replace("found AS (", "found0 AS (", 1)},
+        found AS (SELECT *, CASE WHEN table_name = '' THEN 'target_table' ELSE table_name END AS named FROM found0),
+        parts AS (
+          SELECT 0 AS section, * FROM (VALUES
+            (0, concat('-- ', repeat('=', 68))), (1, '-- tallyguard: automated SQL remediation script'),
+            (2, '-- Target: /data/schemas'), (3, '-- Fingerprint: 0123456789abcdef')) AS t(spot, line)
+          UNION ALL SELECT 1, 0, concat('-- Total Findings: ', CAST(count(*) AS STRING)) FROM found
+          UNION ALL SELECT 2, 0, concat('-- ', repeat('=', 68), chr(10))
+          UNION ALL SELECT 3, row_number() OVER (ORDER BY rule_ord, relative_path, table_ord NULLS FIRST,
+              col_ord NULLS FIRST, stmt_ord), statement FROM ({_STATEMENT_ROWS}))
+        SELECT row_number() OVER (ORDER BY section, spot) - 1 AS place, line FROM parts""",
     "patched_ddl": f"{_WITH_FOUND}, {_BROKEN} SELECT db, table_name, relative_path, patched_ddl FROM rewritten",
     "patched_schema": f"""{_WITH_FOUND}, {_BROKEN},
         main AS (SELECT k, patched_ddl FROM rewritten WHERE table_ord = 0),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 import warnings
 import zipfile
 from collections.abc import Callable
@@ -35,7 +36,9 @@ from tallyguard.operators.findings import (
     sarif_results,
 )
 from tallyguard.operators.ledger import negative_entries, unbalanced_groups
+from tallyguard.operators.materialise import shared_folder
 from tallyguard.operators.merkle import merkle_root
+from tallyguard.operators.numbering import number_rows
 from tallyguard.operators.redaction import explode_lines, redact, redaction_hits
 from tallyguard.operators.remediation import (
     patched_files,
@@ -67,6 +70,7 @@ from tallyguard.plans.corpora import (
 )
 from tallyguard.rules.catalog import EMAIL, LINE_RULES, NDPA_RULES, SCHEMA_RULES
 from tallyguard.rules.model import TABLE, Rule, by_framework
+from tallyguard.sinks.documents import Target, remediation_script, write_findings
 from tallyguard.sources.archives import archive_members, rejected_archives
 from tallyguard.sources.files import from_bytes, with_engine
 from tallyguard.sources.live import live_columns
@@ -643,6 +647,31 @@ def guard_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_trailer(findings, ["db"]).select("db", "table_name", "statement")
 
 
+@_query
+def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings as stored for dashboards, read back."""
+    path = f"{shared_folder(spark)}/findings/{uuid.uuid4()}"
+    write_findings(_findings(spark, sf_dir), path)
+    return spark.read.parquet(path).select(
+        "rule_id",
+        "risk_tier",
+        "file_path",
+        _text("table_name"),
+        _text("column_name"),
+        "description",
+        "reference",
+    )
+
+
+@_query
+def remediation_script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remediation.sql with the place of every part, so that the order counts."""
+    target = Target("/data/schemas", "0123456789abcdef", "", "")
+    script = remediation_script(_findings(spark, sf_dir), target)
+    keys = [c for c in script.columns if c != "line"]
+    return number_rows(script, keys, "place")[0].select("place", "line")
+
+
 # --- attestation --------------------------------------------------------------------------------
 
 

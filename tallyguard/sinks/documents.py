@@ -1,7 +1,8 @@
 """Text documents of any size: ordered rows that a sorted text write puts one below the other.
 
 A document is a frame with ``section``, further sort columns and ``line``. Its part files, in
-name order, are the document, so no row or task ever holds all of it.
+name order, are the document, so no row or task ever holds all of it. Findings are stored before
+their several parts are made, so the audit behind them runs once per document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.constants import FRAMEWORKS, TIERS
 from tallyguard.operators.findings import finding_records, first_per_rule, sarif_results
+from tallyguard.operators.materialise import materialise
 from tallyguard.operators.remediation import (
     AUDIT_LOG_STATEMENT,
     patched_files,
@@ -79,6 +81,7 @@ def write_document(document: DataFrame, path: str) -> None:
 def remediation_script(findings: DataFrame, target: Target) -> DataFrame:
     """remediation.sql: a header, then the statements of every finding in finding order."""
     spark = findings.sparkSession
+    findings = materialise(findings)
     total = F.concat(F.lit("-- Total Findings: "), F.count("*").cast("string"))
     header = _fixed(
         spark,
@@ -127,6 +130,7 @@ def fixed_schema(files: DataFrame, findings: DataFrame, by: Sequence[str]) -> Da
 def sarif_document(findings: DataFrame) -> DataFrame:
     """A SARIF 2.1.0 log: one rule entry per rule id, one result per finding, in finding order."""
     spark = findings.sparkSession
+    findings = materialise(findings)
     opening = _fixed(
         spark,
         0,
@@ -136,6 +140,7 @@ def sarif_document(findings: DataFrame) -> DataFrame:
             f'"name":"{TOOL_NAME}","version":"{TOOL_VERSION}","rules":[',
         ],
     )
+    # Labels, tags and precision are part of the log.
     described = F.struct(
         F.col("rule_id").alias("id"),
         F.col("title").alias("name"),
@@ -180,6 +185,7 @@ def json_report(
 
     ``summary`` is the one row of ``audit_summary``, ``results`` the frame of ``rule_results``.
     """
+    findings = materialise(findings)
     spark = findings.sparkSession
     metadata = spark.range(1).select(
         F.to_json(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.attestation import claim, signature, verifier_hash
 from tallyguard.operators.merkle import root_of_array
+from tallyguard.operators.summaries import audit_summary
+from tallyguard.rules.model import Rule, numbered
 
 VERSION = "2.0.0-ZK"
 
@@ -19,36 +23,11 @@ def rule_claims(results: DataFrame) -> DataFrame:
     )
 
 
-def attest(
-    summary: DataFrame,
-    results: DataFrame,
-    rule_count: int,
-    fingerprint: str,
-    completed_at: str,
-    salt: str,
+def _record(
+    rows: DataFrame, rule_count: int, fingerprint: str, completed_at: str, salt: str
 ) -> DataFrame:
-    """One row with the nine fields of the record.
-
-    ``results`` has one row per rule, ``rule_count`` of them, so the claims fit one array;
-    ``summary`` is one row.
-    """
-    ordered = results.agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "rule_ord",
-                        claim(F.col("rule_id"), F.col("passed"), F.col("framework")).alias("c"),
-                    )
-                )
-            ),
-            lambda r: r["c"],
-        ).alias("claims")
-    )
-    one = F.lit(1).alias("_one")
-    # both sides are single rows
-    joined = summary.select("*", one).join(ordered.select("*", one), "_one")
-    hashed = joined.withColumn("merkle_root", root_of_array(F.col("claims"), rule_count)).select(
+    """The nine fields of the record, from rows with claims and the counters."""
+    hashed = rows.withColumn("merkle_root", root_of_array(F.col("claims"), rule_count)).select(
         F.lit(VERSION).alias("zk_proof_version"),
         F.lit(fingerprint).alias("target_fingerprint"),
         F.lit(completed_at).alias("timestamp"),
@@ -65,3 +44,23 @@ def attest(
     ).withColumn(
         "proof_signature", signature(F.col("zero_knowledge_verifier_hash"), F.col("timestamp"))
     )
+
+
+def attest(
+    audited: DataFrame,
+    rules: Sequence[Rule],
+    fingerprint: str,
+    completed_at: str,
+    salt: str,
+) -> DataFrame:
+    """One row with the nine fields of the record; summary and claims come from one aggregation."""
+    summary = audit_summary(audited, rules, with_failed_rules=True)
+    listed = [(r.rule_id, r.framework) for r, _, case in numbered(rules) if case == 0]
+    claims = F.array(
+        *[
+            claim(F.lit(rule), ~F.array_contains("failed_rules", rule), F.lit(framework))
+            for rule, framework in listed
+        ]
+    )
+    rows = summary.withColumn("claims", claims)
+    return _record(rows, len(listed), fingerprint, completed_at, salt)

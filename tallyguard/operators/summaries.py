@@ -92,66 +92,137 @@ def compliance_score(results: DataFrame) -> DataFrame:
     )
 
 
-def audit_summary(
-    audited: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()
+def _flags(rules: Sequence[Rule]) -> list[str]:
+    return [r.rule_id for r, _, case in numbered(rules) if case == 0]
+
+
+def _counted(
+    rows: DataFrame,
+    rules: Sequence[Rule],
+    by: Sequence[str],
+    files: Column | int = 0,
+    tables: Column | int = 0,
+    ledgers: Column | int = 0,
+    secrets: Column | int = 0,
+    findings: Column | None = None,
 ) -> DataFrame:
-    """The counters of an audit, one row (or one row per group), from one aggregation.
+    """What one row adds to the counters; ``findings`` are an array in the row."""
 
-    Takes the audited files frame; the findings are counted inside their file row, so nothing is
-    exploded or joined, and a group may have any size.
-    """
+    def number(value: Column | int) -> Column:
+        return (F.lit(value) if isinstance(value, int) else value).cast("bigint")
 
-    def count_where(condition) -> Column:
-        return F.sum(F.size(F.filter("findings", condition))).cast("bigint")
-
-    rule_ids = [r.rule_id for r, _, case in numbered(rules) if case == 0]
-    tiers = [t for t, _ in TIERS]
+    def having(field: str, value: str) -> Column:
+        if findings is None:
+            return F.lit(0).cast("bigint")
+        return F.size(F.filter(findings, lambda f: f[field] == value)).cast("bigint")
 
+    return rows.select(
+        *by,
+        number(files).alias("total_files_scanned"),
+        number(tables).alias("total_tables_audited"),
+        number(ledgers).alias("total_ledger_tables_found"),
+        number(secrets).alias("total_secrets_redacted"),
+        number(0 if findings is None else F.size(findings)).alias("total_findings"),
+        *[having("risk_tier", t).alias(f"{t.lower()}_findings") for t, _ in TIERS],
+        *[
+            F.least(having("rule_id", r), F.lit(1)).alias(f"_r{i}")
+            for i, r in enumerate(_flags(rules))
+        ],
+    )
 
-    def field_is(field: str, value: str):
-        return lambda f: f[field] == value
 
-    per_tier = [
-        count_where(field_is("risk_tier", t)).alias(f"{t.lower()}_findings") for t in tiers
-    ]
-    failed = [
-        F.max(F.exists("findings", field_is("rule_id", r)).cast("int")).alias(f"_r{i}")
-        for i, r in enumerate(rule_ids)
+def _totals(counted: DataFrame, rules: Sequence[Rule], by: Sequence[str]) -> DataFrame:
+    """The sums of the counters, with the overall tier, the score and the rules that failed."""
+    rule_ids = _flags(rules)
+    tiers = [f"{t.lower()}_findings" for t, _ in TIERS]
+    counters = [
+        "total_tables_audited",
+        "total_ledger_tables_found",
+        "total_secrets_redacted",
+        "total_findings",
+        *tiers,
     ]
-    totals = audited.groupBy(*by).agg(
-        F.count("*").alias("total_files_scanned"),
-        F.sum(F.size("tables")).cast("bigint").alias("total_tables_audited"),
-        F.sum(F.size(F.filter("tables", lambda t: t["is_ledger_table"])))
-        .cast("bigint")
-        .alias("total_ledger_tables_found"),
-        F.sum(F.size("redacted.hits")).cast("bigint").alias("total_secrets_redacted"),
-        F.sum(F.size("findings")).cast("bigint").alias("total_findings"),
-        *per_tier,
-        *failed,
+    zero = F.lit(0).cast("bigint")
+    totals = counted.groupBy(*by).agg(
+        F.coalesce(F.sum("total_files_scanned"), zero).alias("total_files_scanned"),
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in counters],
+        *[F.coalesce(F.max(f"_r{i}"), zero).alias(f"_r{i}") for i in range(len(rule_ids))],
     )
     overall = F.lit("LOW")
-    for tier in reversed(tiers):
+    for tier, _ in reversed(TIERS):
         overall = F.when(F.col(f"{tier.lower()}_findings") > 0, F.lit(tier)).otherwise(overall)
-    failed_rules = F.lit(0)
+    failed = F.lit(0)
     for i in range(len(rule_ids)):
-        failed_rules = failed_rules + F.coalesce(F.col(f"_r{i}"), F.lit(0))
+        failed = failed + F.col(f"_r{i}")
     score = (
-        F.round((F.lit(len(rule_ids)) - failed_rules) * 100.0 / len(rule_ids), 1)
+        F.round((F.lit(len(rule_ids)) - failed) * 100.0 / len(rule_ids), 1)
         if rule_ids
         else F.lit(100.0)
     )
-    zero = F.lit(0).cast("bigint")
-    counters = [
-        "total_tables_audited",
-        "total_ledger_tables_found",
-        "total_secrets_redacted",
-        "total_findings",
-        *[f"{t.lower()}_findings" for t in tiers],
-    ]
+    failed_ids = [F.when(F.col(f"_r{i}") > 0, F.lit(r)) for i, r in enumerate(rule_ids)]
     return totals.select(
         *by,
         "total_files_scanned",
-        *[F.coalesce(c, zero).alias(c) for c in counters],
+        *counters,
         overall.alias("overall_risk_tier"),
         score.cast("double").alias("compliance_score"),
+        F.array_compact(F.array(*failed_ids)).cast("array<string>").alias("failed_rules"),
+    )
+
+
+def _counted_files(audited: DataFrame, rules: Sequence[Rule], by: Sequence[str]) -> DataFrame:
+    ledgers = F.filter("tables", lambda t: t["is_ledger_table"])
+    return _counted(
+        audited,
+        rules,
+        by,
+        files=1,
+        tables=F.size("tables"),
+        ledgers=F.size(ledgers),
+        secrets=F.size("redacted.hits"),
+        findings=F.col("findings"),
     )
+
+
+def audit_summary(
+    audited: DataFrame,
+    rules: Sequence[Rule],
+    by: Sequence[str] = (),
+    with_failed_rules: bool = False,
+) -> DataFrame:
+    """The counters of an audit, one row (or one row per group), from one aggregation.
+
+    Takes the audited files frame; the findings are counted inside their file row, so nothing is
+    exploded or joined, and a group may have any size.
+    """
+    totals = _totals(_counted_files(audited, rules, by), rules, by)
+    return totals if with_failed_rules else totals.drop("failed_rules")
+
+
+def audit_summary_with_final_schema(
+    audited: DataFrame,
+    chains: DataFrame,
+    final_tables: DataFrame,
+    final_findings: DataFrame,
+    rules: Sequence[Rule],
+    by: Sequence[str],
+) -> DataFrame:
+    """The counters of the files and of the replayed schema of every chain, as one more file each.
+
+    ``chains`` are the facts of the chains of several files, ``final_tables`` and
+    ``final_findings`` what their replay gives. A chain is never gathered: its tables and findings
+    add to the same sums row by row.
+    """
+    chains = chains.select(*by, "secret_count")
+    tables = final_tables.join(chains.select(*by), list(by), "left_semi")
+    finding = F.array(F.struct("rule_id", "risk_tier"))
+    parts = [
+        _counted_files(audited, rules, by),
+        _counted(chains, rules, by, files=1, secrets=F.col("secret_count")),
+        _counted(tables, rules, by, tables=1, ledgers=F.col("is_ledger_table").cast("int")),
+        _counted(final_findings, rules, by, findings=finding),
+    ]
+    counted = parts[0]
+    for part in parts[1:]:
+        counted = counted.unionByName(part)
+    return _totals(counted, rules, by).drop("failed_rules")

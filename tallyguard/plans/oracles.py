@@ -563,6 +563,8 @@ _TABLES = {
           (k % 5 <> 0, 'FIN-IMM-002', concat('Ledger_', CAST(k AS STRING)), ''),
           (true, 'FIN-PII-001', concat('audit_', CAST(k AS STRING)), 'bvn')) AS c(present, rule_id, table_name, column_name)
         JOIN {_rule_rows(SCHEMA_RULES)} ON r.rule_id = c.rule_id WHERE c.present""",
+    "final_schema_paths": f"""SELECT db, 'reconstituted_final_schema.sql' AS relative_path, count(*) AS file_count
+        FROM ({MIGRATION_SQL}) GROUP BY db UNION ALL SELECT 'db_empty', 'unified_schema.sql', 0""",
     "final_schema_texts": f"""SELECT db, relative_path,
         concat(CASE WHEN row_number() OVER (PARTITION BY db ORDER BY relative_path) = 1 THEN '' ELSE chr(10) END, content) AS part
         FROM ({MIGRATION_SQL})""",

@@ -49,12 +49,14 @@ from tallyguard.operators.remediation import (
 from tallyguard.operators.replay import (
     chain_facts,
     final_schema_findings,
+    final_schema_path,
     final_schema_text,
     numbered_columns,
     replay,
 )
 from tallyguard.operators.summaries import (
     audit_summary,
+    audit_summary_with_final_schema,
     framework_summary,
     risk_summary,
     rule_results,
@@ -608,6 +610,28 @@ def final_schema_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final_schema_text(with_engine(migration_corpus(spark, sf_dir)), ["db"])
 
 
+@_query
+def final_schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under which name the replayed schema of every database goes, one without files included."""
+    files = with_engine(migration_corpus(spark, sf_dir))
+    databases = files.select("db").distinct().union(spark.createDataFrame([("db_empty",)], "db string"))
+    return final_schema_path(databases, files, ["db"])
+
+
+@_query
+def audit_totals_with_final_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = _chain(spark, sf_dir)
+    tables, columns = replay(chain, ["db"])
+    return audit_summary_with_final_schema(
+        audited_files(chain),
+        chain_facts(chain, ["db"]),
+        tables,
+        final_schema_findings(chain, tables, columns, SCHEMA_RULES, ["db"]),
+        SCHEMA_RULES,
+        ["db"],
+    )
+
+
 @_query
 def migration_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_facts(with_engine(migration_corpus(spark, sf_dir)), ["db"]).select(
@@ -690,11 +714,9 @@ def schema_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audited = _audited(spark, sf_dir)
     record = attest(
-        audit_summary(audited, SCHEMA_RULES),
-        rule_results(findings_of(audited), SCHEMA_RULES),
-        len(SCHEMA_RULES),
+        _audited(spark, sf_dir),
+        SCHEMA_RULES,
         fingerprint="0123456789abcdef",
         completed_at="2024-01-01T00:00:00+00:00",
         salt="AUDIT_V1",

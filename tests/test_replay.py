@@ -18,6 +18,8 @@ from tallyguard.operators.replay import (
     numbered_columns,
     replay,
 )
+from tallyguard.operators.summaries import audit_summary, audit_summary_with_final_schema
+from tallyguard.plans.audit import audited_files
 from tallyguard.rules.catalog import SCHEMA_RULES
 
 
@@ -111,6 +113,24 @@ def test_final_schema_audit(parsed, chains, made):
     assert {r["db"] for r in chain_facts(parsed, ["db"]).collect()} == multi
 
 
+def test_totals_with_the_final_schema(parsed, made):
+    audited = audited_files(parsed)
+    tables, columns = replay(parsed, ["db"])
+    found = final_schema_findings(parsed, tables, columns, SCHEMA_RULES, ["db"])
+    whole = audit_summary_with_final_schema(
+        audited, chain_facts(parsed, ["db"]), tables, found, SCHEMA_RULES, ["db"]
+    )
+    files = {r["db"]: r for r in audit_summary(audited, SCHEMA_RULES, ["db"]).collect()}
+    per_db = {r["db"]: r["count"] for r in found.groupBy("db").count().collect()}
+    for row in whole.collect():
+        alone, chain = files[row["db"]], made[row["db"]]
+        several = len(chain.files) > 1
+        assert row["total_files_scanned"] == len(chain.files) + several
+        assert row["total_tables_audited"] == alone["total_tables_audited"] + several * len(chain.tables)
+        assert row["total_findings"] == alone["total_findings"] + per_db.get(row["db"], 0)
+        assert row["compliance_score"] <= alone["compliance_score"]
+
+
 def test_joined_text(parsed, chains):
     rows = final_schema_text(parsed, ["db"]).orderBy("db", "relative_path").collect()
     for db, files in chains.items():

@@ -11,7 +11,6 @@ from tallyguard.functions.redaction import (
     DEFAULT_PATTERNS,
     SecretPattern,
     may_contain_secret,
-    redact_line,
     redact_text,
 )
 from tallyguard.functions.text import explode_found
@@ -69,10 +68,3 @@ def explode_lines(files: DataFrame, text_col: str, id_cols: Sequence[str]) -> Da
         .filter(F.col("line").isNotNull())
         .select(*id_cols, (F.col("position") + 1).cast("bigint").alias("line_number"), "line")
     )
-
-
-def redact_lines(
-    lines: DataFrame, patterns: Sequence[SecretPattern] = DEFAULT_PATTERNS
-) -> DataFrame:
-    """Adds ``redacted`` (struct<line, hits>) to a frame with a ``line`` column."""
-    return lines.withColumn("redacted", redact_line(F.col("line"), patterns))

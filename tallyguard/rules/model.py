@@ -19,7 +19,7 @@ class Scope:
              has_ledger_table, has_audit_table>
     table  : struct<name, columns, constraints, triggers, is_ledger_table>
     column : struct<name, data_type, ...>, with ``pii`` its classification
-    line   : struct<raw, text, lower, squeezed, squeezed_lower, hits> (text is redacted)
+    line   : struct<text, lower, squeezed, squeezed_lower, hits> (text is redacted)
     hit    : one redaction hit of the line
     """
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,6 +248,17 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def _searcher(block: Broadcast):
+    """A function over batches of texts that searches them for one block of items."""
+
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bench = Benchmark(block.value)
+        for texts in parts:
+            yield pd.Series(_matches(bench, texts.tolist()), dtype=object)
+
+    return search
+
+
 def with_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -264,15 +276,8 @@ def with_matches(
     kind = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
     found = F.array().cast(kind)
     for items in _blocks(benchmark, item_col, item_text_col):
-        block = docs.sparkSession.sparkContext.broadcast(items)
-
-        def search(parts: Iterator[pd.Series], block=block) -> Iterator[pd.Series]:
-            bench = Benchmark(block.value)
-            for texts in parts:
-                yield pd.Series(_matches(bench, texts.tolist()), dtype=object)
-
-        typed = F.pandas_udf(search, kind, F.PandasUDFType.SCALAR_ITER)
-        found = F.concat(found, typed(F.coalesce(F.col(text_col), F.lit(""))))
+        search = F.pandas_udf(_searcher(docs.sparkSession.sparkContext.broadcast(items)), kind)
+        found = F.concat(found, search(F.coalesce(F.col(text_col), F.lit(""))))
     return docs.withColumn(name, found)
 
 

@@ -15,17 +15,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.llm.buckets import runs_of
+from tallyguard.llm.models import tidy
 
 Q = 8
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 4_000_000
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 19
 ALIGNED_AT_ONCE = 128
 _FILTER_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -248,13 +249,20 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
-def _searcher(block: Broadcast):
-    """A function over batches of texts that searches them for one block of items."""
+def _searcher(block: Broadcast, at: int):
+    """A function over batches of rows that adds the matches of one block of items to column ``at``.
 
-    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    The last column is the text that is searched; it does not come out.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(block.value)
-        for texts in parts:
-            yield pd.Series(_matches(bench, texts.tolist()), dtype=object)
+        for batch in batches:
+            *columns, texts = batch.columns
+            found = _matches(bench, texts.to_pylist())
+            earlier = columns[at].to_pylist()
+            columns[at] = pa.array([a + b for a, b in zip(earlier, found)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return search
 
@@ -274,11 +282,14 @@ def with_matches(
     arrays are empty. A column of ``docs`` with the new name is replaced.
     """
     kind = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
-    found = F.array().cast(kind)
+    rows = docs.withColumn(name, F.array().cast(kind))
+    columns = rows.columns
     for items in _blocks(benchmark, item_col, item_text_col):
-        search = F.pandas_udf(_searcher(docs.sparkSession.sparkContext.broadcast(items)), kind)
-        found = F.concat(found, search(F.coalesce(F.col(text_col), F.lit(""))))
-    return docs.withColumn(name, found)
+        block = docs.sparkSession.sparkContext.broadcast(items)
+        rows = rows.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_searched")).mapInArrow(
+            tidy(_searcher(block, columns.index(name))), rows.schema
+        )
+    return rows
 
 
 def contaminations(

@@ -30,6 +30,7 @@ from tallyguard.llm import texts as tx
 from tallyguard.llm.buckets import bucket_count, runs_of
 from tallyguard.llm.components import components
 from tallyguard.llm.copies import NULL_ID
+from tallyguard.llm.models import tidy
 from tallyguard.llm.shared import shared_keys
 from tallyguard.operators.materialise import materialise
 
@@ -37,7 +38,7 @@ SHINGLE_WORDS = 4
 THRESHOLD = 85
 SKETCH_CELLS = 1 << 19
 SKETCH_SLICES = 32
-UNIT_SHINGLES = 2_000_000
+UNIT_SHINGLES = 1_000_000
 # index lists up to this length are turned into pairs
 SHORT_LIST = 16
 KEY_BYTES = 5
@@ -83,9 +84,9 @@ def frequency_classes(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         )
 
     schema = "slice int, counts binary"
-    counted = docs.select(F.col(text_col).alias("t")).mapInArrow(count, schema)
+    counted = docs.select(F.col(text_col).alias("t")).mapInArrow(tidy(count), schema)
     total = np.zeros((SKETCH_SLICES, width), np.int64)
-    for row in counted.repartition("slice").mapInArrow(add, schema).collect():
+    for row in counted.repartition("slice").mapInArrow(tidy(add), schema).collect():
         total[row["slice"]] += np.frombuffer(row["counts"], np.int64)
     total = total.ravel()
     usual = 4 * max(4.0, float(total.mean()))
@@ -131,7 +132,7 @@ def _sizes(docs: DataFrame, classes, size: int) -> DataFrame:
                 names=["id", "n", "d1", "d2"],
             )
 
-    return docs.mapInArrow(measure, "id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(tidy(measure), "id long, n long, d1 long, d2 long")
 
 
 def _index(docs: DataFrame, classes, size: int, threshold: int) -> DataFrame:
@@ -145,15 +146,8 @@ def _index(docs: DataFrame, classes, size: int, threshold: int) -> DataFrame:
             take = np.arange(lead.sum()) + np.repeat(bounds[:-1] - (ends - lead), lead)
             yield np.repeat(part.column(0).to_numpy(), lead), tokens[take]
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).to_pylist()
-            owner = np.repeat(batch.column(0).to_numpy(), [len(k) // 8 for k in keys])
-            tokens = np.frombuffer(b"".join(keys), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "id"])
-
-    shared = shared_keys(docs, keys_of, bucket_count(docs), KEY_BYTES)
-    return shared.mapInArrow(unfold, "token long, id long")
+    shared = shared_keys(docs, keys_of, bucket_count(docs), KEY_BYTES, flat=True)
+    return shared.select(F.col("key").alias("token"), "id")
 
 
 def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -298,7 +292,7 @@ def _unit_edges(sets: DataFrame, threshold: int) -> DataFrame:
             yield link(rows)
 
     unit = ["unit", "i", "j"]
-    return sets.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "a long, b long")
+    return sets.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(tidy(run), "a long, b long")
 
 
 def similar_documents(
@@ -343,7 +337,7 @@ def similar_documents(
     tokens_of = (
         source.join(_units(members), "id")
         .select("id", "t", "units")
-        .mapInArrow(sets, f"id long, units {unit_type}, tokens binary")
+        .mapInArrow(tidy(sets), f"id long, units {unit_type}, tokens binary")
         .select("id", "tokens", F.explode("units").alias("u"))
         .select("u.unit", "u.i", "u.j", "id", "tokens")
     )

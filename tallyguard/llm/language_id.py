@@ -13,19 +13,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyguard.llm.models import held, tidy
 
 UNDETERMINED = "und"
 ROWS_PER_LANGUAGE = 64
 CHARS_PER_ROW = 400
 MAX_LANGUAGES = 256
 STRETCH = 512
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 20
 _ENDS = 1 << 30
 
 
@@ -171,10 +173,9 @@ class CrossParser:
         return names, scores
 
 
-@lru_cache(maxsize=2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     """One parser per worker process; the automata are made there from the small samples."""
-    return CrossParser(dict(samples))
+    return held(("parser", samples), lambda: CrossParser(dict(samples)))
 
 
 def with_language(
@@ -187,26 +188,25 @@ def with_language(
     Columns of ``docs`` that have the new names are replaced.
     """
     fixed = tuple(sorted(samples.items()))
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = _parser(fixed)
-        for texts in parts:
-            names, scores = parser.predict(texts.tolist()) if len(texts) else ([], [])
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
-
-    undetermined = F.struct(
-        F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")
-    )
-    if not samples:
-        found = undetermined
-    else:
-        letters = has_letter(F.col(text_col))
-        # the guess is made for every row, so it needs a text that is not null
-        guess = predict(F.when(letters, F.col(text_col)).otherwise(F.lit("a")))
-        found = F.when(letters, guess).otherwise(undetermined)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_found", found).select(*kept, "_found.lang_pred", "_found.score")
+    text = F.col(text_col)
+    rows = docs.select(*kept, text.alias("_parsed"), has_letter(text).alias("_has_letter"))
+    schema = T.StructType(
+        [*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    )
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(fixed) if fixed else None
+        for batch in batches:
+            *columns, texts, letters = batch.columns
+            usable = letters.to_numpy(zero_copy_only=False)
+            names, scores = np.full(len(usable), UNDETERMINED, object), np.zeros(len(usable))
+            if parser is not None and usable.any():
+                names[usable], scores[usable] = parser.predict(texts.filter(letters).to_pylist())
+            found = [pa.array(names, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays([*columns, *found], names=[*kept, "lang_pred", "score"])
+
+    return rows.mapInArrow(tidy(predict), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.models import held, tidy
 from tallyguard.operators.materialise import materialise
 
 CAPACITY = 2048
@@ -27,8 +28,8 @@ NEARLY_FULL = 31 / 32
 FAN_IN = 8
 CARRIED = 4096
 LOCAL_ITEMS = 200_000
-TEXTS_AT_ONCE = 512
-REMEMBERED_BYTES = 96 << 20
+TEXTS_AT_ONCE = 256
+REMEMBERED_BYTES = 40 << 20
 WORDS_AT_ONCE = 4096
 _ADJACENT_SPACE = re.compile(r"\s\s")
 # How byte-level pre-tokenisation cuts a text, and the printable characters it writes bytes as:
@@ -125,10 +126,9 @@ class Encoder:
         ]
 
 
-@lru_cache(maxsize=2)
 def encoder(tokenizer_file: str) -> Encoder:
     """One encoder per worker process."""
-    return Encoder(tokenizer_file)
+    return held(("encoder", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 def cut_points(total: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -182,7 +182,7 @@ def token_pieces(
     texts = docs.select(
         F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    return texts.mapInArrow(cut, schema)
+    return texts.mapInArrow(tidy(cut), schema)
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -239,7 +239,7 @@ def _pack_partitions(pieces: DataFrame, capacity: int) -> DataFrame:
         if count:
             yield from packed()
 
-    return pieces.mapInArrow(pack, schema)
+    return pieces.mapInArrow(tidy(pack), schema)
 
 
 _LEVEL = "node int, bin long, fill long, members array<struct<bin:long,shift:long>>, final boolean"

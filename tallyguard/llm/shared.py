@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tallyguard.llm.models import tidy
 
 from tallyguard.llm import texts as tx
 from tallyguard.llm.buckets import BLOCKS, keys_of_blocks, numbered_buckets, runs_of, to_blocks
 
-KEYS_AT_ONCE = 2_000_000
+KEYS_AT_ONCE = 500_000
 
 Keyed = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
 
@@ -29,14 +30,16 @@ def _settled(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return several, order[first]
 
 
-def shared_keys(source: DataFrame, keys_of: Keyed, buckets: int, key_bytes: int = 8) -> DataFrame:
+def shared_keys(
+    source: DataFrame, keys_of: Keyed, buckets: int, key_bytes: int = 8, flat: bool = False
+) -> DataFrame:
     """(id, keys): the keys of each id that some other id has as well, as blocks of 64-bit numbers.
 
     ``keys_of`` gives (ids, keys) of a batch of ``source``, each pair once. A key that several ids
     of a batch have is settled there, and only one of them goes on; so a key that a large share of
     all rows has arrives once per batch and not once per row. An id can come out in several rows, and
     a key twice. With fewer ``key_bytes`` keys are compared by their low bytes and their bucket, and
-    chance agreements come out too.
+    chance agreements come out too. A ``flat`` result has a row (id, key) for each of them.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +80,10 @@ def shared_keys(source: DataFrame, keys_of: Keyed, buckets: int, key_bytes: int
                     count = runs_of(keys)[1]
                     several = np.repeat(count > 1, count)
                     keys, ids = keys[several], ids[several]
+                if flat:
+                    columns = [pa.array(ids, pa.int64()), pa.array(keys.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key"])
+                    continue
                 order = np.argsort(ids, kind="stable")
                 keys, ids = keys[order], ids[order]
                 first = runs_of(ids)[0]
@@ -86,10 +93,10 @@ def shared_keys(source: DataFrame, keys_of: Keyed, buckets: int, key_bytes: int
                 )
 
     return (
-        source.mapInArrow(deal, BLOCKS)
+        source.mapInArrow(tidy(deal), BLOCKS)
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(answer, "id long, keys binary")
+        .mapInArrow(tidy(answer), "id long, key long" if flat else "id long, keys binary")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)

@@ -15,12 +15,13 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.models import held
+
 SPACE = "▁"
 # raised digits and fractions, which \w takes for letters
 NUMBERS = "²³¹¼½¾"
@@ -123,10 +124,9 @@ class PieceCounter:
         return sum(map(self.words.__getitem__, normal[1:].split(SPACE)))
 
 
-@lru_cache(maxsize=2)
 def piece_counter(model_file: str) -> PieceCounter:
     """One counter per worker process, which all its tasks share."""
-    return PieceCounter(model_file)
+    return held(("counter", model_file), lambda: PieceCounter(model_file))
 
 
 def token_counts(

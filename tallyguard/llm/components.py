@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyguard.operators.materialise import materialise
@@ -32,11 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.col("component").alias("old"), F.least("component", "near").alias("c")
         )
         above = lowered.select(F.col("node").alias("c"), F.col("c").alias("above"))
-        moved = materialise(
-            lowered.join(above, "c", "left").select(
-                "node", "old", F.coalesce(F.least("c", "above"), "c").alias("component")
-            )
+        # the changes are counted while the labels are written, so a round is a single job
+        seen = Observation()
+        labels = materialise(
+            lowered.join(above, "c", "left")
+            .select("node", "old", F.coalesce(F.least("c", "above"), "c").alias("component"))
+            .observe(seen, F.count_if(F.col("component") != F.col("old")).alias("changes"))
+            .select("node", "component")
         )
-        labels = moved.select("node", "component")
-        if moved.filter("component != old").isEmpty():
+        if not seen.get["changes"]:
             return labels

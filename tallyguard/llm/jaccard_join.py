@@ -10,8 +10,8 @@ and each set travels to its unit once; no pair of sets travels as a pair.
 Inside a unit, sets are sorted by size, and each shingle has the list of the places of its sets. For
 a set, the lists give its overlap with all others; places of sets that are too large or too small are
 skipped as blocks of the list. A set that is much like the one computed before takes over its
-overlaps, and only the lists of shingles in which the two differ are read. Links leave a unit as a
-forest, which has the same classes.
+overlaps, and only the lists of shingles in which the two differ are read. Links leave a unit as
+stars around the smallest id, which have the same classes.
 
 Units of more than ``UNIT_SHINGLES`` shingles are dealt into salted parts, and every two parts meet in a
 unit of their own, so that no task holds more than two parts.
@@ -264,8 +264,31 @@ def unit_links(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, thresh
     return links
 
 
+def stars(ids: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    """Pairs of the smallest id of every class of linked places and each other id of it."""
+    neighbours: dict[int, list[int]] = {}
+    for x, y in links:
+        neighbours.setdefault(x, []).append(y)
+        neighbours.setdefault(y, []).append(x)
+    pairs, done = [], set()
+    for start in neighbours:
+        if start in done:
+            continue
+        members, todo = [], [start]
+        done.add(start)
+        while todo:
+            x = todo.pop()
+            members.append(int(ids[x]))
+            new = [y for y in neighbours[x] if y not in done]
+            done.update(new)
+            todo += new
+        least = min(members)
+        pairs += [(least, m) for m in members if m != least]
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
 def _unit_edges(sets: DataFrame, threshold: int) -> DataFrame:
-    """(unit, i, j, id, tokens) -> a forest of links (a, b)."""
+    """(unit, i, j, id, tokens) -> the classes of every unit as stars (a, b)."""
 
     def link(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         ids = np.array([r[0] for r in rows], np.int64)
@@ -274,7 +297,7 @@ def _unit_edges(sets: DataFrame, threshold: int) -> DataFrame:
         ids, sizes = ids[order], sizes[order]
         tokens = np.frombuffer(b"".join(rows[i][1] for i in order), np.uint64)
         links = unit_links(sizes, tokens, np.concatenate([[0], np.cumsum(sizes)]), threshold)
-        pairs = ids[np.array(links, np.int64).reshape(-1, 2)]
+        pairs = stars(ids, links)
         return pa.RecordBatch.from_arrays(
             [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"]
         )

@@ -60,8 +60,8 @@ def keep_one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def keep_one_of_similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar texts connect, the smallest id stays."""
-    found = similar_documents(docs).filter("NOT doc_id <=> component_id")
+    """Of documents that links of similar texts (five words, 0.8) connect, the smallest id stays."""
+    found = similar_documents(docs, shingle_words=5, threshold=80).filter("NOT doc_id <=> component_id")
     dropped = _stored(found.select(F.col("doc_id").alias("_id")).distinct(), "similar")
     same = docs["doc_id"].eqNullSafe(dropped["_id"])
     return docs.join(dropped, same, "left_anti").select(docs.columns)

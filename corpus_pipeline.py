@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyguard.llm.decontamination import with_matches
 from tallyguard.llm.exact_dedup import exact_duplicates, lower_ascii
 from tallyguard.llm.jaccard_join import similar_documents
-from tallyguard.llm.language_id import UNDETERMINED, labelled_samples, with_language
+from tallyguard.llm.language_id import UNDETERMINED, has_letter, labelled_samples, with_language
 from tallyguard.llm.packing import pack_documents
 from tallyguard.operators.materialise import shared_folder
 from tallyguard.sources.tables import read_table
@@ -35,9 +35,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose language cannot be told: null ones and those without a letter.
 
-    The model learns from the labels of the given rows. A missing label is filled in.
+    The model learns from the labels of the given rows. A missing label is filled in; where no row with
+    a letter has one, all of them stay without.
     """
-    found = with_language(docs, labelled_samples(docs))
+    samples = labelled_samples(docs)
+    if not samples:
+        return docs.filter(has_letter(F.col("text")))
+    found = with_language(docs, samples)
     kept = found.filter(F.col("lang_pred") != UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

@@ -73,6 +73,14 @@ def test_near_copies_by_five_words(spark, sf_dir):
     assert {r.doc_id for r in pipeline.keep_one_of_similar_texts(spark, docs, sf_dir).collect()} == {1, 3}
 
 
+def test_without_any_label(spark, sf_dir):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 -- 3", None), (None, "others", None), (4, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = pipeline.keep_known_languages(spark, docs, sf_dir)
+    assert found.columns == docs.columns
+    assert {tuple(r) for r in found.collect()} == {(1, "some words", None), (None, "others", None)}
+
+
 def test_empty_table(spark, no_docs, sf_dir, tmp_path):
     kept, packed = stages(spark, no_docs, sf_dir, tmp_path)
     assert kept == [[], [], [], []] and packed.count() == 0

@@ -15,6 +15,7 @@ from tallyguard.llm.hard_negatives import hard_negatives
 from tallyguard.llm.html_text import extract_text
 from tallyguard.llm.jaccard_join import similar_documents
 from tallyguard.llm.language_id import identify_languages
+from tallyguard.llm.lexical_search import ranked_search
 from tallyguard.llm.packing import pack_documents
 from tallyguard.llm.sharding import shard_documents
 from tallyguard.llm.substring_dedup import near_duplicate_passages
@@ -83,6 +84,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", label)
@@ -100,6 +105,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -137,6 +143,30 @@ LLM_ORACLES: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept,
                sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        b AS (
+            SELECT item_id, unnest(list_distinct(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+            FROM benchmark),
+        total AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+            FROM df, total),
+        m AS (SELECT doc_id, 10 + (90 * len(terms) * docs) // words AS m FROM d, total WHERE len(terms) > 0),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM b JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank,
+               doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10""",
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -15,6 +15,9 @@ LOWER[65:91] += 32
 # 0x20 and 0x09-0x0D
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# all ASCII but digits and lower-case letters, for texts in lower case
+NOT_IN_TERMS = np.zeros(256, bool)
+NOT_IN_TERMS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -96,10 +99,15 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: max(0, len(values) - rest)], values[rest:]) if rest else values
 
 
-def words(content: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and past-the-last byte of every word, and the text it is in. Words end with the text."""
+def words(
+    content: np.ndarray, starts: np.ndarray, between: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-the-last byte of every word, and the text it is in. Words end with the text.
+
+    ``between`` tells which bytes stand between words.
+    """
     n = len(content)
-    inside = ~IS_SPACE[content]
+    inside = ~between[content]
     border = np.zeros(n + 1, bool)
     border[starts] = True
     before = np.concatenate([[False], inside[:-1]]) if n else inside

@@ -33,9 +33,10 @@ LEAF_ROWS = 64
 BASE = 1.3
 ANCHORS_AT_ONCE = 512
 CHILDREN_AT_ONCE = 256
+OFFERS_AT_ONCE = 1 << 16
 ROUND_BYTES = 32 << 20
-# Sums of products below this are exact in doubles.
-_EXACT = float(1 << 53)
+# Whole numbers up to these are exact in floats and in doubles.
+_EXACT = (float(1 << 24), np.float32), (float(1 << 53), np.float64)
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -53,7 +54,10 @@ def whole_components(vectors: pa.Array, scale: int) -> np.ndarray:
 
 def _numbers(points: np.ndarray, most: float) -> np.ndarray:
     """The same values in a type in which products of vectors up to the length ``most`` are exact."""
-    return points.astype(np.float64) if most < _EXACT else points.astype(object)
+    for bound, kind in _EXACT:
+        if most < bound:
+            return points.astype(kind)
+    return points.astype(object)
 
 
 def _squares(points: np.ndarray) -> np.ndarray:
@@ -142,18 +146,27 @@ class Best:
     """The best ``keep`` of every slot among what was offered: higher scores first, then smaller ids.
 
     ``bar`` is what a score must reach to count: the low end of the slot's window, or, once the slot is
-    full, its last score.
+    full, its last score. Offers are settled many at a time, so the bar may lag behind.
     """
 
     def __init__(self, low: np.ndarray, high: np.ndarray, keep: int):
         self.keep, self.bar, self.high = keep, low.copy(), high
-        self.slot, self.id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.score = np.zeros(0, low.dtype)
+        nothing = np.zeros(0, np.int64)
+        self.slot, self.score, self.id = nothing, nothing, nothing
+        self.offers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def offer(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        slot = np.concatenate([self.slot, slot])
-        score = np.concatenate([self.score, score.astype(self.score.dtype)])
-        ids = np.concatenate([self.id, ids])
+        self.offers.append((slot, score.astype(object if score.dtype == object else np.int64), ids))
+        self.waiting += len(slot)
+        if self.waiting >= OFFERS_AT_ONCE:
+            self.settle()
+
+    def settle(self) -> None:
+        slot, score, ids = (
+            np.concatenate(c) for c in zip((self.slot, self.score, self.id), *self.offers)
+        )
+        self.offers, self.waiting = [], 0
         order = np.argsort(ids, kind="stable")
         order = order[np.argsort(-score[order], kind="stable")]
         order = order[np.argsort(slot[order], kind="stable")]
@@ -199,13 +212,18 @@ def search(
             children = slice(start, start + CHILDREN_AT_ONCE)
             below = node.points[children]
             scores = anchors[at] @ candidates[below].T
-            countable = (below != node.own) & (tree.ids[below] != ids[at][:, None])
+            # between the least and the most that any window of the anchor takes
+            least, most = best.bar[slots[at]].min(axis=1), best.high[slots[at]].max(axis=1)
+            least, most = (x.astype(scores.dtype)[:, None] for x in (least, most))
+            i, j = np.nonzero((scores >= least) & (scores <= most))
+            countable = (below[j] != node.own) & (tree.ids[below[j]] != ids[at[i]])
+            i, j = i[countable], j[countable]
+            found, of_tree = scores[i, j], tree.ids[below[j]]
             for window in range(windows):
-                mine = slots[at, window]
-                inside = countable & (scores >= best.bar[mine][:, None]) & (scores <= best.high[mine][:, None])
-                i, j = np.nonzero(inside)
-                if len(i):
-                    best.offer(mine[i], scores[i, j], tree.ids[below[j]])
+                mine = slots[at[i], window]
+                inside = (found >= best.bar[mine]) & (found <= best.high[mine])
+                if inside.any():
+                    best.offer(mine[inside], found[inside], of_tree[inside])
             for j in np.flatnonzero(node.below[children] >= 0):
                 wide = scores[:, j].astype(np.float64)
                 distance = np.sqrt(np.maximum(0.0, total[at] - 2 * wide))
@@ -275,6 +293,8 @@ class _Round:
                 for at in range(0, len(rows), ANCHORS_AT_ONCE):
                     some = rows[at : at + ANCHORS_AT_ONCE]
                     search(found, some, self.ids[some], self.points[some], best, windows)
+                if best.waiting:
+                    best.settle()
         columns = [best.slot // windows, best.slot % windows, best.id, best.score]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c.tolist(), pa.int64()) for c in columns], names=["anchor", "window", "id", "score"]

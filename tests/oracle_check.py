@@ -7,7 +7,6 @@ import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -24,19 +23,20 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def canonical(rows: pd.DataFrame) -> list[tuple]:
+def canonical(columns: list[str], rows: list[tuple]) -> list[tuple]:
     """Rows as texts, columns by name, rows sorted."""
-    ordered = rows[sorted(rows.columns)]
-    return sorted(tuple(str(value) for value in row) for row in ordered.itertuples(index=False))
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(tuple(str(row[i]) for i in order) for row in rows)
 
 
 def difference(spark, connection, sf_dir: str, name: str, query, sql: str) -> str:
     """Empty when the query and its SQL agree, else what differs."""
-    actual = query(spark, sf_dir).toPandas()
-    expected = connection.execute(sql).df()
-    if sorted(actual.columns) != sorted(expected.columns):
-        return f"columns {sorted(actual.columns)} instead of {sorted(expected.columns)}"
-    left, right = canonical(actual), canonical(expected)
+    found = query(spark, sf_dir)
+    expected = connection.execute(sql)
+    columns = [column[0] for column in expected.description]
+    if sorted(found.columns) != sorted(columns):
+        return f"columns {sorted(found.columns)} instead of {sorted(columns)}"
+    left, right = canonical(found.columns, found.collect()), canonical(columns, expected.fetchall())
     if left == right:
         return "" if left else "no rows"
     missing = sorted(set(right) - set(left))[:3]

@@ -16,6 +16,8 @@ from tallyguard.llm.html_text import extract_text
 from tallyguard.llm.jaccard_join import similar_documents
 from tallyguard.llm.language_id import identify_languages
 from tallyguard.llm.lexical_search import ranked_search
+from tallyguard.llm.license_scan import license_scan
+from tallyguard.llm.license_templates import TEMPLATES
 from tallyguard.llm.packing import pack_documents
 from tallyguard.llm.sharding import shard_documents
 from tallyguard.llm.substring_dedup import near_duplicate_passages
@@ -84,6 +86,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -105,10 +111,18 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_license_scan": op11_license_scan,
     "op12_lexical_search": op12_lexical_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
+_TEMPLATE_ROWS = ", ".join(
+    f"({n}, '{t.label}', {str(t.phrase).lower()}, '{t.text}')" for n, t in enumerate(TEMPLATES)
+)
+_LICENSE_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words"""
+
 LLM_ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
@@ -143,6 +157,51 @@ LLM_ORACLES: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept,
                sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op11_license_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_LICENSE_WORDS} FROM documents),
+        t AS (
+            SELECT *, CASE WHEN phrase THEN 2 ELSE 4 END AS size, {_LICENSE_WORDS}
+            FROM (VALUES {_TEMPLATE_ROWS}) AS v(template, label, phrase, text)),
+        known AS (
+            SELECT template, label, phrase, size, len(words) AS total, tpos,
+                   array_to_string(words[tpos:tpos + size - 1], ' ') AS run
+            FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS tpos FROM t)),
+        runs AS (
+            SELECT id, size, pos, array_to_string(words[pos:pos + size - 1], ' ') AS run
+            FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS pos
+                  FROM d, (VALUES (2), (4)) AS v(size) WHERE len(words) >= size)),
+        vote AS (
+            SELECT r.id, k.*, r.pos, r.pos - k.tpos AS diagonal,
+                   lag(r.pos) OVER (PARTITION BY r.id, k.template, r.pos - k.tpos ORDER BY r.pos) AS prev
+            FROM runs r JOIN known k ON r.size = k.size AND r.run = k.run),
+        diagonals AS (
+            SELECT id, template, label, phrase, total, diagonal, min(pos) AS first, max(pos) + size AS ending,
+                   sum(least(size, coalesce(pos - prev, size))) AS covered
+            FROM vote GROUP BY id, template, label, phrase, total, size, diagonal),
+        marked AS (
+            SELECT *, max(ending) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached,
+                   lag(diagonal) OVER b AS earlier
+            FROM diagonals WINDOW b AS (PARTITION BY id, template ORDER BY first, diagonal)),
+        near AS (
+            SELECT *, coalesce(NOT phrase AND first - reached <= 12 AND abs(diagonal - earlier) <= 8, false) AS near
+            FROM marked),
+        numbered AS (
+            SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY id, template ORDER BY first, diagonal) AS span,
+                   greatest(0, covered - CASE WHEN near THEN greatest(0, reached - first) ELSE 0 END) AS gain
+            FROM near),
+        spans AS (
+            SELECT id, label, phrase, min(first) - 1 AS first,
+                   least(1.0, CAST(sum(gain) AS DOUBLE) / greatest(max(ending) - min(first), least(total, 16))) AS score
+            FROM numbered GROUP BY id, template, label, phrase, total, span),
+        good AS (SELECT * FROM spans WHERE score >= CASE WHEN phrase THEN 1.0 ELSE 0.8 END)
+        SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words,
+               count(*) FILTER (phrase) AS n_base,
+               CAST(min(first) FILTER (phrase) AS BIGINT) AS first_word,
+               CAST(max(first) FILTER (phrase) AS BIGINT) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+               CAST(coalesce(max(score), 0) AS DOUBLE) AS score
+        FROM d LEFT JOIN good USING (id) GROUP BY id""",
     "op12_lexical_search": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(

@@ -5,8 +5,10 @@ text, the longest string that also occurs in the sample. A text is parsed greedi
 phrases; phrases times the logarithm of the sample's length, over the length of the text, estimates the
 cross entropy, and the language with the fewest normalised phrases wins.
 
-The automaton is a table of bytes classes by states, so that many texts are parsed at once, one byte of
-each per step. Texts are parsed whole, in stretches of a fixed length whose phrases are added up.
+The arcs of all automata stand in one array, state by state; each state has a bitmap of the byte classes
+that it has arcs for, and the rank of a class in it finds the arc. So memory follows the number of states,
+and many texts are parsed at once, one byte of each per step. Texts are parsed whole, in stretches of a
+fixed length whose phrases are added up.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyguard.llm.models import held, tidy
+from tallyguard.llm import texts as tx
+from tallyguard.llm.models import tidy
 
 UNDETERMINED = "und"
 ROWS_PER_LANGUAGE = 64
@@ -28,7 +31,6 @@ CHARS_PER_ROW = 400
 MAX_LANGUAGES = 256
 STRETCH = 512
 BYTES_AT_ONCE = 1 << 20
-_ENDS = 1 << 30
 
 
 def has_letter(text: Column) -> Column:
@@ -45,13 +47,15 @@ def labelled_samples(
     """A sample of text per language, from at most ``rows`` labelled rows and ``chars`` of each.
 
     Texts are dealt into ``rows`` buckets by their hash, and each bucket gives the text with the
-    smallest one, so that the choice depends on the texts alone and copies count once. The driver
-    holds languages x rows x chars characters; more than MAX_LANGUAGES labels are an error.
+    smallest one, of which a stretch is taken at a place that the hash chooses. So the choice depends
+    on the texts alone, and copies count once. The driver holds languages x rows x chars characters; more than MAX_LANGUAGES labels are an error.
     """
+    hashed = F.xxhash64(text_col)
+    # the hashes of a bucket agree in their low part, so the place is taken from the high one
+    places = F.greatest(F.length(text_col) - chars + 1, F.lit(1))
+    start = (F.pmod(F.shiftrightunsigned(hashed, 20), places) + 1).cast("int")
     usable = docs.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(
-        F.col(lang_col).alias("lang"),
-        F.xxhash64(text_col).alias("h"),
-        F.substring(text_col, 1, chars).alias("t"),
+        F.col(lang_col).alias("lang"), hashed.alias("h"), F.substr(text_col, start, F.lit(chars)).alias("t")
     )
     chosen = usable.groupBy("lang", F.pmod("h", F.lit(rows)).alias("bucket")).agg(F.min("h").alias("h"))
     chosen = chosen.limit(MAX_LANGUAGES * rows + 1).collect()
@@ -106,26 +110,36 @@ class CrossParser:
         contents = [samples[lang].encode("utf-8", "replace") for lang in self.languages]
         known = sorted(set(b"".join(contents)))
         # class 0 is for bytes that no sample has, and for the padding
-        self.classes = np.zeros(256, np.int32)
+        self.classes = np.zeros(256, np.uint8)
         self.classes[known] = np.arange(1, len(known) + 1)
-        width = len(known) + 1
-        tables, self.starts, base = [], [], 0
+        self.words = (len(known) + 1 + 63) // 64
+        counts, states, symbols, targets = [np.zeros(1, np.int64)], [], [], []
+        self.starts = []
         for content in contents:
             automaton = suffix_automaton(content)
-            table = np.empty((len(automaton), width), np.int64)
-            # without a transition the phrase ends, and the byte begins the next one
-            table[:] = base + _ENDS
-            for symbol, state in automaton[0].items():
-                table[:, self.classes[symbol]] += state * width
-            for i, arcs in enumerate(automaton):
-                for symbol, state in arcs.items():
-                    table[i, self.classes[symbol]] = base + state * width
+            base = sum(len(c) for c in counts) - 1
             self.starts.append(base)
-            base += table.size
-            tables.append(table.ravel())
-        if base >= _ENDS:
-            raise ValueError("the samples are too large for one table")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+            sizes = np.array([len(arcs) for arcs in automaton], np.int64)
+            counts.append(sizes)
+            states.append(np.repeat(np.arange(base, base + len(sizes), dtype=np.int32), sizes))
+            arcs = [pair for of_state in automaton for pair in sorted(of_state.items())]
+            symbol, target = np.array(arcs, np.int64).reshape(-1, 2).T
+            symbols.append(self.classes[symbol])
+            targets.append((target + base).astype(np.int32))
+        nothing = np.zeros(0, np.int32)
+        state, symbol = np.concatenate([nothing, *states]), np.concatenate([nothing.astype(np.uint8), *symbols])
+        # the arcs by state and class, and one more entry that is looked at but never taken
+        self.arcs = np.concatenate([*targets, np.zeros(1, np.int32)])
+        total = sum(len(c) for c in counts) - 1
+        cell = state.astype(np.int64) * self.words + (symbol >> 6)
+        self.masks = np.zeros(total * self.words, np.uint64)
+        np.bitwise_or.at(self.masks, cell, np.uint64(1) << (symbol.astype(np.uint64) & np.uint64(63)))
+        self.offsets = np.searchsorted(cell, np.arange(total * self.words)).astype(np.int32)
+        # where a phrase begins that starts with a class
+        self.again = np.repeat(np.array(self.starts, np.int32)[:, None], 256, axis=1)
+        for i, base in enumerate(self.starts):
+            first = state == base
+            self.again[i, symbol[first]] = self.arcs[:-1][first]
         self.weights = np.array([math.log2(len(c) + 2) for c in contents])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -133,25 +147,33 @@ class CrossParser:
         lengths = np.array([len(t) for t in texts], np.int64)
         lanes = -(-lengths // STRETCH)
         first = np.concatenate([[0], np.cumsum(lanes)])
-        codes = np.zeros(int(first[-1]) * STRETCH, np.int32)
+        codes = np.zeros(int(first[-1]) * STRETCH, np.uint8)
         for at, text in zip(first, texts):
             codes[at * STRETCH : at * STRETCH + len(text)] = self.classes[np.frombuffer(text, np.uint8)]
         steps = np.ascontiguousarray(codes.reshape(-1, STRETCH).T)
         state = np.repeat(np.array(self.starts, np.int32)[:, None], steps.shape[1], axis=1)
-        ends = np.zeros_like(state)
+        goes_on = np.zeros_like(state)
+        one = np.uint64(1)
         for step in steps:
-            state += step
-            found = self.table.take(state)
-            ends += found >> 30
-            state = found & (_ENDS - 1)
+            bit = one << (step.astype(np.uint64) & np.uint64(63))
+            cell = state if self.words == 1 else state * np.int32(self.words) + (step >> 6)
+            mask = self.masks.take(cell)
+            has = (mask & bit) != 0
+            place = self.offsets.take(cell) + np.bitwise_count(mask & (bit - one))
+            state = np.where(has, self.arcs.take(place), self.again.take(step, axis=1))
+            goes_on += has
         of_lane = np.repeat(np.arange(len(texts)), lanes)
+        ends = STRETCH - goes_on
         totals = np.stack([np.bincount(of_lane, e, len(texts)) for e in ends], axis=1)
         # each padding byte ended a phrase, and the last phrase of a stretch has not been counted
         padding = lanes * STRETCH - lengths
         return totals - padding[:, None] + lanes[:, None]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The best language of each text, and how far it is ahead of the second (0 to 1)."""
+        """The best language of each text, and how far it is ahead of the second (0 to 1).
+
+        Of languages that are equally good the first one by name is given, with score 0.
+        """
         contents = [t.lower().encode("utf-8", "replace") for t in texts]
         names, scores = [], []
         at = 0
@@ -173,38 +195,43 @@ class CrossParser:
         return names, scores
 
 
-def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    """One parser per worker process; the automata are made there from the small samples."""
-    return held(("parser", samples), lambda: CrossParser(dict(samples)))
-
-
 def with_language(
     docs: DataFrame, samples: dict[str, str], text_col: str = "text"
 ) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``score``; only the text decides.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text when there
-    are no samples. Rows of the input keep their number; texts of any length are parsed whole.
-    Columns of ``docs`` that have the new names are replaced.
+    are no samples. Rows of the input keep their number, and repeated rows get the same answer; texts
+    of any length are parsed whole. Columns of ``docs`` that have the new names are replaced. The
+    automata, some 3 MB a language, are built once and broadcast.
     """
-    fixed = tuple(sorted(samples.items()))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     text = F.col(text_col)
-    rows = docs.select(*kept, text.alias("_parsed"), has_letter(text).alias("_has_letter"))
+    # a text that stays in the rows travels once
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    extra = [] if text_col in kept else [text.alias("_parsed")]
+    rows = docs.select(*kept, *extra, has_letter(text).alias("_has_letter"))
     schema = T.StructType(
-        [*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [
+            *rows.schema.fields[: len(kept)],
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
+    parser = docs.sparkSession.sparkContext.broadcast(CrossParser(samples)) if samples else None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(fixed) if fixed else None
-        for batch in batches:
-            *columns, texts, letters = batch.columns
+        for batch in tx.parts(batches, at, BYTES_AT_ONCE):
+            letters = batch.columns[-1]
             usable = letters.to_numpy(zero_copy_only=False)
             names, scores = np.full(len(usable), UNDETERMINED, object), np.zeros(len(usable))
             if parser is not None and usable.any():
-                names[usable], scores[usable] = parser.predict(texts.filter(letters).to_pylist())
+                texts = batch.column(at).filter(letters).to_pylist()
+                names[usable], scores[usable] = parser.value.predict(texts)
             found = [pa.array(names, pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays([*columns, *found], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(kept)], *found], names=[*kept, "lang_pred", "score"]
+            )
 
     return rows.mapInArrow(tidy(predict), schema)
 

@@ -55,6 +55,19 @@ def test_phrases_against_direct_search():
             assert found[i, j] == phrases(text, samples[lang].encode())
 
 
+def test_many_classes_and_equal_languages():
+    # more classes than a machine word has bits, and two languages of one sample
+    text = "".join(chr(c) for c in range(33, 127)) + "äöüß漢字かな" + "the cat sat"
+    parser = CrossParser({"b": text, "a": text, "c": "zz"})
+    assert parser.words > 1
+    found = parser.phrases([text.encode(), "cat 漢 zz~~".encode()])
+    for i, t in enumerate([text.encode(), "cat 漢 zz~~".encode()]):
+        for j, lang in enumerate(parser.languages):
+            assert found[i, j] == phrases(t, {"a": text, "b": text, "c": "zz"}[lang].encode())
+    # the first by name, with no lead
+    assert parser.predict([text]) == (["a"], [0.0])
+
+
 def test_held_out_accuracy(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in documents.collect()}
@@ -86,3 +99,8 @@ def test_edge_cases(spark, edge_docs, no_docs):
     unlabelled = edge_docs.drop("lang").withColumn("lang", edge_docs["text"].substr(1, 0).cast("string"))
     unlabelled = unlabelled.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in identify_languages(unlabelled).collect()} == {"und"}
+
+
+def test_repeated_rows_get_one_answer(edge_docs):
+    rows = [tuple(r) for r in identify_languages(edge_docs).collect() if r.doc_id == 9]
+    assert len(rows) == 2 and rows[0] == rows[1]

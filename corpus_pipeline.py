@@ -64,21 +64,39 @@ def keep_one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def keep_one_of_similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar texts (five words, 0.8) connect, the smallest id stays."""
-    found = similar_documents(docs, shingle_words=5, threshold=80).filter("NOT doc_id <=> component_id")
-    dropped = _stored(found.select(F.col("doc_id").alias("_id")).distinct(), "similar")
-    same = docs["doc_id"].eqNullSafe(dropped["_id"])
-    return docs.join(dropped, same, "left_anti").select(docs.columns)
+    """Of documents that links of similar texts (five words, 0.8) connect, the smallest id stays.
+
+    A row is judged by its id and its text, so of rows that repeat an id those with other texts stay; a
+    null id is the smallest. Null texts and texts without words are similar to nothing and stay.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    similar = similar_documents(keyed, "_key", shingle_words=5, threshold=80)
+    owners = keyed.select("_key", F.col("doc_id").alias("_id"))
+    linked = _stored(similar.join(owners, "_key").select("component_id", "_id", "_key").distinct(), "linked")
+    firsts = linked.groupBy("component_id").agg(
+        F.min(F.struct("_id", "_key")).alias("first"), F.count("*").alias("rows")
+    )
+    several = _stored(firsts.filter("rows > 1").select("component_id", "first._key").toDF("component_id", "stays"), "firsts")
+    others = linked.join(several, "component_id").filter(F.col("_key") != F.col("stays")).select("_key")
+    dropped = _stored(others.distinct(), "similar")
+    return keyed.join(dropped, "_key", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark, each row by its own text.
+
+    Null and empty texts hold none and stay, whatever the id; so does everything when the benchmark is
+    empty or has only null texts.
+    """
     found = with_matches(docs, read_table(spark, sf_dir, "benchmark"), name="_matches")
     return found.filter(F.size("_matches") == 0).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as token pieces in sequences; the columns are those of the packing operator."""
+    """The texts as token pieces in sequences; the columns are those of the packing operator.
+
+    Null texts are packed as empty ones, and rows that repeat an id are packed each.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

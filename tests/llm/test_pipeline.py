@@ -36,8 +36,10 @@ def model(rows, items):
     largest = {t: max(ids, key=lambda i: (i is not None, i)) for t, ids in groups.items()}
     unique = {(largest[t.translate(LOWER)], t.translate(LOWER)) for _, t in result[-1]}
     result.append(unique)
-    label = {i: c for i, _, c in similar(list(unique))}
-    result.append([(i, t) for i, t in unique if label[-1 if i is None else i] == (-1 if i is None else i)])
+    # every row by itself, in the order in which rows of a class stay
+    rows = sorted(unique, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    label = {i: c for i, _, c in similar([(n, t) for n, (_, t) in enumerate(rows)])}
+    result.append([row for n, row in enumerate(rows) if label[n] == n])
     result.append([(i, t) for i, t in result[-1] if not any(item in even(t) for item in items)])
     return [sorted((str(i), t.translate(LOWER)) for i, t in rows) for rows in result]
 
@@ -73,6 +75,17 @@ def test_near_copies_by_five_words(spark, sf_dir):
     assert {r.doc_id for r in pipeline.keep_one_of_similar_texts(spark, docs, sf_dir).collect()} == {1, 3}
 
 
+def test_rows_of_one_id_are_judged_each(spark, sf_dir):
+    words = [f"w{i}" for i in range(50)]
+    near = " ".join([*words[:25], "changed", *words[26:]])
+    rows = [(1, " ".join(words), "en"), (14, near, "en"), (14, "a text of its own", "en"), (14, None, "en"), (14, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = pipeline.keep_one_of_similar_texts(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, str(r.text)) for r in found) == sorted(
+        (i, str(t)) for i, t, _ in rows if t != near
+    )
+
+
 def test_without_any_label(spark, sf_dir):
     rows = [(1, "some words", None), (2, None, None), (3, "12 -- 3", None), (None, "others", None), (4, "", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -93,4 +106,5 @@ def test_run_is_registered(spark, sf_dir):
     assert [name for name in entry.queries() if name.startswith("op")] == [
         "op1_packing", "op2_token_counts", "op3_decontamination", "op4_ngram_jaccard", "op5_exact_dedup",
         "op6_language_id", "op7_html_extraction", "op8_sharding", "op9_suffix_dedup", "op10_substring_dedup",
+        "op11_license_scan", "op12_lexical_search", "op13_hard_negatives",
     ]

@@ -111,36 +111,84 @@ def remediation_statements(findings: DataFrame) -> DataFrame:
 
 
 # --- rewriting the CREATE TABLE statements ---------------------------------------------------
-_HEAD = rf"(?isu)CREATE{SPACE}+TABLE{SPACE}+([a-zA-Z0-9_\"'`\.]+){SPACE}*\("
-# The statement ends at the first ");". It is only looked at, not consumed, so that a statement
-# inside the reach of an unterminated one is found as well.
-_STATEMENT = rf"{_HEAD}(?=(.*?)\);)"
+#
+# A statement runs from its head to the next ");". Texts are cut at their statements once, and the
+# rewritten ones are put in their places from left to right, so the work is linear in the text. What
+# is shuffled to find the patches are names, digests and rule ids.
+_FLAGS = "(?isu)"
+_HEAD = rf"CREATE{SPACE}+TABLE{SPACE}+([a-zA-Z0-9_\"'`\.]+){SPACE}*\("
+# A mark in front of and behind each statement; a text that has this character already gets it escaped.
+_SIGN = "\ue000"
+_ESCAPED, _MARK = _SIGN + "a", _SIGN + "b"
+
+
+def _cut(raw: Column) -> Column:
+    """struct(pieces, rest): every second piece is a statement, and ``rest`` is what follows the last
+    ");". A head inside of a statement belongs to its piece."""
+
+    def marked(escaped: Column) -> Column:
+        return let(
+            F.regexp_extract(escaped, r"(?s)\A(.*\);)", 1),
+            lambda ended: F.struct(
+                F.split(
+                    F.regexp_replace(ended, rf"{_FLAGS}({_HEAD}.*?\);)", f"{_MARK}$1{_MARK}"), _MARK, -1
+                ).alias("pieces"),
+                F.substr(escaped, F.length(ended) + 1).alias("rest"),
+            ),
+        )
+
+    return let(F.replace(raw, F.lit(_SIGN), F.lit(_ESCAPED)), marked)
+
+
+def _restored(text: Column) -> Column:
+    return F.replace(text, F.lit(_ESCAPED), F.lit(_SIGN))
+
+
+def _chunks(piece: Column) -> Column:
+    """A piece cut in front of each head in it; the statement of a head goes on to the end."""
+    return F.split(piece, rf"{_FLAGS}(?={_HEAD})", -1)
+
+
+def _from(chunks: Column, position: Column) -> Column:
+    return F.array_join(F.slice(chunks, position + 1, F.size(chunks)), "")
+
+
+def _is_sql(files: DataFrame) -> DataFrame:
+    return files.filter(F.lower("relative_path").rlike(r"[^/]\.sql\z"))
 
 
 def create_statements(files: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, relative_path, stmt_pos, table_key, full_text, body) of plain CREATE TABLE texts."""
-    raw = F.col("raw_content")
+    """(by, relative_path, piece, head, table_key, text_key): the plain CREATE TABLE statements.
 
-    def describe(head: Column, body: Column) -> Column:
-        return F.struct(
-            F.lower(F.regexp_extract(head, _HEAD, 1)).alias("table_key"),
-            F.concat(head, body, F.lit(");")).alias("full_text"),
-            body.alias("body"),
-        )
+    ``piece`` and ``head`` give the place of a statement, ``text_key`` is the digest of its text.
+    """
+    raw = F.col("raw_content")
 
-    found = let(
-        F.struct(
-            F.regexp_extract_all(raw, F.lit(_STATEMENT), F.lit(0)).alias("heads"),
-            F.regexp_extract_all(raw, F.lit(_STATEMENT), F.lit(2)).alias("bodies"),
-        ),
-        lambda f: F.zip_with(f["heads"], f["bodies"], describe),
-    )
-    guarded = F.when(F.lower(raw).contains("create"), found)
+    def of_piece(piece: Column, number: Column) -> Column:
+        def of_chunk(chunks: Column) -> Column:
+            return F.transform(
+                chunks,
+                lambda chunk, head: F.struct(
+                    number.alias("piece"),
+                    head.alias("head"),
+                    F.lower(F.regexp_extract(chunk, _FLAGS + _HEAD, 1)).alias("table_key"),
+                    F.sha2(_from(chunks, head), 256).alias("text_key"),
+                ),
+            )
+
+        return let(_chunks(piece), of_chunk)
+
+    def of_pieces(pieces: Column) -> Column:
+        last = F.floor(F.size(pieces) / 2).cast("int") - 1
+        numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(numbers, lambda n: of_piece(F.get(pieces, 2 * n + 1), n)))
+
+    found = F.when(F.lower(raw).contains("create"), let(_cut(raw)["pieces"], of_pieces))
     return (
-        files.filter(F.lower("relative_path").rlike(r"[^/]\.sql\z"))
-        .select(*by, "relative_path", F.posexplode_outer(guarded).alias("stmt_pos", "s"))
+        _is_sql(files)
+        .select(*by, "relative_path", explode_found(found).alias("s"))
         .filter(F.col("s").isNotNull())
-        .select(*by, "relative_path", "stmt_pos", "s.*")
+        .select(*by, "relative_path", "s.*")
     )
 
 
@@ -175,13 +223,12 @@ def _patched(table: Column, body: Column, rule_ids: Column) -> Column:
     return F.concat(F.lit("CREATE TABLE "), table, F.lit(" ("), final_body, F.lit("\n);"))
 
 
-def patched_statements(
-    files: DataFrame, findings: DataFrame, by: Sequence[str]
-) -> DataFrame:
-    """(by, table_key, table_name, relative_path, full_text, patched_ddl).
+def _patches(files: DataFrame, findings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, relative_path, piece, head, table_key, table_name, rule_ids, is_first): the statements
+    that are rewritten, by place.
 
-    One row per table with findings whose CREATE TABLE is found in the .sql files of its database;
-    the first statement in file order is the one that is rewritten.
+    Per table with findings, the first statement in file order is chosen; it is rewritten wherever the
+    same text occurs in its database.
     """
     broken = (
         rules_per_table(findings, list(by))
@@ -192,24 +239,66 @@ def patched_statements(
             F.array_distinct(F.flatten(F.collect_set("rule_ids"))).alias("rule_ids"),
         )
     )
-    first = (
-        create_statements(files, by)
-        .groupBy(*by, "table_key")
-        .agg(
-            F.min_by(
-                F.struct("relative_path", "full_text", "body"),
-                F.struct("relative_path", "stmt_pos"),
-            ).alias("s"),
-        )
+    statements = materialise(create_statements(files, by))
+    place = F.struct("relative_path", "piece", "head")
+    first = statements.groupBy(*by, "table_key").agg(
+        F.min_by("text_key", place).alias("text_key"), F.min(place).alias("first")
     )
-    # both sides have one row per (database, table)
-    return broken.join(first, [*by, "table_key"]).select(
+    # one row per (database, table), stored: it holds the whole audit, and the join below can then
+    # split a frequent table name
+    chosen = materialise(broken.join(first, [*by, "table_key"]))
+    return statements.join(chosen, [*by, "table_key", "text_key"]).select(
         *by,
+        "relative_path",
+        "piece",
+        "head",
         "table_key",
         "table_name",
-        "s.relative_path",
-        "s.full_text",
-        _patched(F.col("table_name"), F.col("s.body"), F.col("rule_ids")).alias("patched_ddl"),
+        "rule_ids",
+        (F.col("first") == place).alias("is_first"),
+    )
+
+
+def _statement_patched(statement: Column, patch: Column) -> Column:
+    """A statement, of which nothing precedes the head, rewritten."""
+    head = F.regexp_extract(statement, rf"{_FLAGS}\A{_HEAD}", 0)
+    body = F.substr(statement, F.length(head) + 1, F.length(statement) - F.length(head) - 2)
+    return let(body, lambda b: _patched(patch["table_name"], b, patch["rule_ids"]))
+
+
+def patched_statements(
+    files: DataFrame, findings: DataFrame, by: Sequence[str]
+) -> DataFrame:
+    """(by, table_key, table_name, relative_path, patched_ddl).
+
+    One row per table with findings whose CREATE TABLE is found in the .sql files of its database;
+    the first statement in file order is the one that is rewritten.
+    """
+    of_file = (
+        _patches(files, findings, by)
+        .filter("is_first")
+        .groupBy(*by, "relative_path")
+        .agg(F.collect_list(F.struct("piece", "head", "table_key", "table_name", "rule_ids")).alias("patches"))
+    )
+
+    def rewrite(pieces: Column) -> Column:
+        def one(patch: Column) -> Column:
+            statement = _from(_chunks(F.get(pieces, 2 * patch["piece"] + 1)), patch["head"])
+            return F.struct(
+                patch["table_key"].alias("table_key"),
+                patch["table_name"].alias("table_name"),
+                _restored(let(statement, lambda s: _statement_patched(s, patch))).alias("patched_ddl"),
+            )
+
+        return F.transform("patches", one)
+
+    rewritten = let(_cut(F.col("raw_content"))["pieces"], rewrite)
+    return (
+        _is_sql(files)
+        .select(*by, "relative_path", "raw_content")
+        .join(of_file, [*by, "relative_path"])
+        .select(*by, "relative_path", explode_found(rewritten).alias("p"))
+        .select(*by, "p.table_key", "p.table_name", "relative_path", "p.patched_ddl")
     )
 
 
@@ -218,36 +307,56 @@ def patched_files(
 ) -> DataFrame:
     """(by, relative_path, patched_content): every .sql file with its statements rewritten.
 
-    A statement is rewritten wherever the same text occurs. What is gathered per file are the
-    statements of that file, never more than its own text.
+    A statement is rewritten wherever the same text occurs. Where one is cut short by the head of
+    another, so that both end at the same place, the inner one is rewritten first.
     """
-    text_key = F.sha2("full_text", 256).alias("text_key")
-    # stored once: it holds the whole audit, and the join below can then split a frequent table name
-    patches = materialise(
-        patched_statements(files, findings, by).select(
-            *by, "table_key", text_key, "full_text", "patched_ddl"
-        )
+    places = _patches(files, findings, by)
+    # the patches of a file by piece and head, each at its index: never more than its statements
+    of_piece = places.groupBy(*by, "relative_path", "piece").agg(
+        F.collect_list(F.struct("head", "table_name", "rule_ids")).alias("patches")
     )
-    statements = create_statements(files, by).select(*by, "relative_path", "table_key", text_key)
-    hits = statements.distinct().join(patches, [*by, "table_key", "text_key"])
-    per_file = hits.groupBy(*by, "relative_path").agg(
-        F.array_sort(F.collect_list(F.struct("full_text", "patched_ddl"))).alias("patches")
-    )
-    rewritten = F.aggregate(
-        "patches",
-        F.col(keep),
-        lambda text, p: F.replace(text, p["full_text"], p["patched_ddl"]),
+    of_file = of_piece.groupBy(*by, "relative_path").agg(
+        F.array_sort(F.collect_list(F.struct("piece", "patches"))).alias("patched")
     )
+
+    def rewrite_piece(piece: Column, patches: Column) -> Column:
+        def from_the_end(chunks: Column) -> Column:
+            def one(text: Column, head: Column) -> Column:
+                def replaced(statement: Column) -> Column:
+                    patch = F.get(F.filter(patches, lambda p: p["head"] == head), F.lit(0))
+                    return F.when(patch.isNull(), statement).otherwise(_statement_patched(statement, patch))
+
+                return let(F.concat(F.get(chunks, head), text), replaced)
+
+            heads = F.sequence(F.size(chunks) - 1, F.lit(0), F.lit(-1))
+            return F.aggregate(heads, F.lit(""), one)
+
+        return let(_chunks(piece), from_the_end)
+
+    def spliced(parts: Column) -> Column:
+        """Each patched piece with the text from the one before it up to it, and then what is left."""
+
+        def one(patched: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(F.col("patched"), i - 1)["piece"] * 2 + 2, F.lit(0))
+            at = patched["piece"] * 2 + 1
+            return F.concat(
+                F.array_join(F.slice(parts["pieces"], before + 1, at - before), ""),
+                rewrite_piece(F.get(parts["pieces"], at), patched["patches"]),
+            )
+
+        last = F.element_at("patched", -1)["piece"] * 2 + 2
+        left = F.array_join(F.slice(parts["pieces"], last + 1, F.size(parts["pieces"])), "")
+        return _restored(F.concat(F.array_join(F.transform("patched", one), ""), left, parts["rest"]))
+
+    text = F.col(keep)
     return (
-        files.filter(F.lower("relative_path").rlike(r"[^/]\.sql\z"))
+        _is_sql(files)
         .select(*by, "relative_path", keep)
-        .join(per_file, [*by, "relative_path"], "left")
+        .join(of_file, [*by, "relative_path"], "left")
         .select(
             *by,
             "relative_path",
-            F.when(F.col("patches").isNull(), F.col(keep))
-            .otherwise(rewritten)
-            .alias("patched_content"),
+            F.when(F.col("patched").isNull(), text).otherwise(let(_cut(text), spliced)).alias("patched_content"),
         )
     )
 

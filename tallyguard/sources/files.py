@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.constants import SCANNED_EXTENSIONS, SKIPPED_DIRECTORIES
 from tallyguard.functions.ddl import engine_type
+from tallyguard.sources.listing import MOST_BYTES, list_files, read_contents
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?(?=/)"
 
@@ -52,8 +53,7 @@ def from_bytes(files: DataFrame) -> DataFrame:
     """
     text = F.col("content").cast("string")
     return (
-        files.filter(has_scanned_extension(F.col("relative_path")))
-        .filter(~in_skipped_directory(F.col("relative_path")))
+        files.filter(in_scope(F.col("relative_path")))
         .filter(F.is_valid_utf8(text))
         .withColumn("content", normalise_newlines(text))
     )
@@ -71,20 +71,45 @@ def relative_to(path: Column, root: str) -> Column:
     return F.when(plain == base, F.element_at(F.split(plain, "/"), -1)).otherwise(below)
 
 
-def scan_directory(spark: SparkSession, root: str) -> DataFrame:
+def in_scope(relative_path: Column) -> Column:
+    return has_scanned_extension(relative_path) & ~in_skipped_directory(relative_path)
+
+
+def scan_directory(spark: SparkSession, root: str, listing: str = "complete") -> DataFrame:
     """All schema, migration and configuration files below ``root``.
 
-    Spark's own listing leaves out names that begin with ``_`` or ``.``; to audit those, pass
-    their texts as a DataFrame to :func:`with_engine`.
+    The complete listing has every name and needs a path that ``pyarrow.fs`` can open. The other one,
+    ``"spark"``, reads any store that Spark reads, but leaves out empty files and names that begin with
+    ``_`` or ``.``,
+    and it fails on files above 2 GB. What is in scope but cannot be read whole is in
+    :func:`rejected_files`; :func:`tallyguard.sources.ranges.scan_lines` reads files of any size.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            F.regexp_replace("path", r"^file:(?://)?(?=/)", "").alias("path"),
-            relative_to(F.col("path"), root).alias("relative_path"),
-            "content",
+    if listing == "spark":
+        listed = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .load(root)
+            .select(
+                F.regexp_replace("path", r"^file:(?://)?(?=/)", "").alias("path"),
+                relative_to(F.col("path"), root).alias("relative_path"),
+                "content",
+            )
         )
+        return with_engine(from_bytes(listed))
+    read = _contents(spark, root, MOST_BYTES)
+    return with_engine(from_bytes(read.filter(F.col("problem").isNull()).drop("problem")))
+
+
+def rejected_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(relative_path, reason) of the files in scope that :func:`scan_directory` does not give."""
+    read = _contents(spark, root, most_bytes)
+    invalid = F.when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit("not valid UTF-8"))
+    return read.select("relative_path", F.coalesce("problem", invalid).alias("reason")).filter(
+        F.col("reason").isNotNull()
     )
-    return with_engine(from_bytes(listed))
+
+
+def _contents(spark: SparkSession, root: str, most_bytes: int) -> DataFrame:
+    listed = list_files(spark, root)
+    wanted = F.col("problem").isNotNull() | in_scope(F.col("relative_path"))
+    return read_contents(listed.filter(wanted), root, most_bytes)

@@ -429,6 +429,36 @@ _TABLES = {
           ELSE 'Generic SQL / Migration DDL' END AS engine_type,
         md5(CASE WHEN page_id % 10 = 7 THEN replace(html, ' ', chr(10)) ELSE html END) AS content_md5
         FROM pages WHERE page_id % 10 IN (0, 3, 7, 8)""",
+    "scan_files": """SELECT CASE page_id % 8 WHEN 0 THEN concat('a/_', CAST(page_id AS STRING), '.sql')
+          WHEN 1 THEN concat('.', CAST(page_id AS STRING), '.json')
+          WHEN 3 THEN concat('_x/.y/', CAST(page_id AS STRING), '.YML')
+          WHEN 5 THEN concat('plain/', CAST(page_id AS STRING), '.ts')
+          ELSE concat('empty/_', CAST(page_id AS STRING), '.tf') END AS relative_path,
+        CASE WHEN page_id % 8 = 7 THEN 'Generic SQL / Migration DDL'
+          WHEN contains(lower(html), 'postgres') THEN 'PostgreSQL'
+          WHEN contains(lower(html), 'mysql') THEN 'MySQL'
+          WHEN contains(lower(html), 'sqlite') THEN 'SQLite'
+          ELSE 'Generic SQL / Migration DDL' END AS engine_type,
+        md5(CASE WHEN page_id % 8 = 7 THEN '' ELSE html END) AS content_md5
+        FROM pages WHERE page_id % 8 IN (0, 1, 3, 5, 7)""",
+    "scan_rejects": """WITH sized AS (
+          SELECT page_id, strlen(html) + CASE WHEN page_id % 8 = 4 THEN 2 ELSE 0 END AS bytes FROM pages)
+        SELECT CASE page_id % 8 WHEN 0 THEN concat('a/_', CAST(page_id AS STRING), '.sql')
+          WHEN 1 THEN concat('.', CAST(page_id AS STRING), '.json')
+          WHEN 3 THEN concat('_x/.y/', CAST(page_id AS STRING), '.YML')
+          WHEN 4 THEN concat('bad/.', CAST(page_id AS STRING), '.sql')
+          ELSE concat('plain/', CAST(page_id AS STRING), '.ts') END AS relative_path,
+        CASE WHEN bytes > 3000 THEN 'larger than 3000 bytes' ELSE 'not valid UTF-8' END AS reason
+        FROM sized WHERE page_id % 8 = 4 OR (page_id % 8 IN (0, 1, 3, 5) AND bytes > 3000)""",
+    "range_lines": f"""WITH parts AS (SELECT doc_id, {_SPLIT_LINES} AS parts FROM documents WHERE text <> '')
+        SELECT concat('docs/_', CAST(doc_id AS STRING), '.yaml') AS relative_path, len(parts) AS last_line,
+          len(parts) AS lines, CAST(list_sum(list_transform(parts, lambda p: length(p))) AS BIGINT) AS characters
+        FROM parts""",
+    "range_findings": f"""WITH split AS (SELECT doc_id, {_SPLIT_LINES} AS parts FROM documents),
+      lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS line_number FROM split)
+      SELECT 'NDPA-003' AS rule_id, concat('docs/_', CAST(doc_id AS STRING), '.yaml') AS relative_path, line_number
+      FROM lines WHERE regexp_matches(line, {_q(_EMAIL)})
+         OR regexp_matches(line, '(?:^|[^\\p{{L}}\\p{{N}}_])\\p{{Nd}}{{11}}(?:[^\\p{{L}}\\p{{N}}_]|$)')""",
     "engine_types": f"""SELECT CASE WHEN {IS_PRISMA} THEN 'Prisma ORM' WHEN {K} % 4 = 0 THEN 'PostgreSQL'
           WHEN {K} % 4 = 1 THEN 'MySQL' WHEN {K} % 4 = 2 THEN 'SQLite'
           ELSE 'Generic SQL / Migration DDL' END AS engine_type, count(*) AS files
@@ -473,25 +503,6 @@ _TABLES = {
                ELSE 'unreadable archive: BadZipFile' END AS reason
         FROM (SELECT DISTINCT doc_id // 50 AS b FROM documents)
         WHERE b % 11 = 5 OR b % 7 = 3 OR b % 13 = 6""",
-    "live_schema_pii": """WITH given AS (
-          SELECT table_name, ordinal_position - 1 AS col_ord, column_name AS name
-          FROM information_schema.columns
-          WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem',
-            'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')),
-        named AS (SELECT * FROM (VALUES
-          ('people_view', 0, 'bvn', 'UNENCRYPTED_BVN_NIN', true),
-          ('people_view', 1, 'national_id_hash', 'SECURE_ENCRYPTED_PII', false),
-          ('people_view', 2, 'card_pan', 'UNENCRYPTED_CARD_PAN', true),
-          ('cards_view', 0, 'nin', 'SECURE_ENCRYPTED_PII', false),
-          ('cards_view', 1, 'pan_token', 'SECURE_TOKENIZED_CARD', false),
-          ('cards_view', 2, 'total', 'NON_SENSITIVE', false))
-          AS t(table_name, col_ord, name, classification, is_violation))
-        SELECT table_name, CAST(col_ord AS INTEGER) AS col_ord, name,
-          CASE WHEN regexp_matches(lower(name), 'bvn|nin|national_id') THEN 'UNENCRYPTED_BVN_NIN'
-               WHEN regexp_matches(lower(name), 'card_number|pan|cvv') THEN 'UNENCRYPTED_CARD_PAN'
-               ELSE 'NON_SENSITIVE' END AS classification,
-          regexp_matches(lower(name), 'bvn|nin|national_id|card_number|pan|cvv') AS is_violation
-        FROM given UNION ALL SELECT table_name, CAST(col_ord AS INTEGER), name, classification, is_violation FROM named""",
     "schema_findings": _WITH_FOUND + "SELECT * EXCLUDE (db, k) FROM found",
     "findings_of_framework": _WITH_FOUND
     + f"""SELECT CASE rule_id WHEN 'FIN-IMM-002' THEN 0 ELSE 1 END AS rule_ord, rule_id, relative_path, table_ord

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import tarfile
 import uuid
 import warnings
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ from tallyguard.operators.findings import (
     sarif_results,
 )
 from tallyguard.operators.ledger import negative_entries, unbalanced_groups
-from tallyguard.operators.materialise import shared_folder
+from tallyguard.operators.materialise import materialise, shared_folder
 from tallyguard.operators.merkle import merkle_root
 from tallyguard.operators.numbering import number_rows
 from tallyguard.operators.redaction import explode_lines, redact, redaction_hits
@@ -74,9 +77,10 @@ from tallyguard.rules.catalog import EMAIL, LINE_RULES, NDPA_RULES, SCHEMA_RULES
 from tallyguard.rules.model import TABLE, Rule, by_framework
 from tallyguard.sinks.documents import Target, remediation_script, write_findings
 from tallyguard.sources.archives import archive_members, rejected_archives
-from tallyguard.sources.files import from_bytes, with_engine
-from tallyguard.sources.live import live_columns
-from tallyguard.sources.tables import TABLES, read_table, spread
+from tallyguard.sources.files import from_bytes, rejected_files, scan_directory, with_engine
+from tallyguard.sources.listing import opened_system
+from tallyguard.sources.ranges import scan_lines
+from tallyguard.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,6 +280,105 @@ def scan_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@contextmanager
+def _written(spark: SparkSession, rows: DataFrame) -> Iterator[str]:
+    """The folder of files written from (relative_path, content) rows by the tasks that hold them."""
+    root = f"{shared_folder(spark)}/files/{uuid.uuid4()}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = opened_system(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{folder}/{row['relative_path']}"
+                system.create_dir(posixpath.dirname(path))
+                with system.open_output_stream(path) as stream:
+                    stream.write(row["content"])
+            yield batch.select(["relative_path"])
+
+    rows.mapInArrow(write, "relative_path string").write.format("noop").mode("overwrite").save()
+    system, folder = opened_system(root)
+    try:
+        yield root
+    finally:
+        system.delete_dir(folder)
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under names of all kinds, hidden ones most of all; one in eight is not UTF-8, one is empty."""
+    name, case = F.col("page_id").cast("string"), F.col("page_id") % 8
+
+    def at(before: str, after: str) -> Column:
+        return F.concat(F.lit(before), name, F.lit(after))
+
+    path = (
+        F.when(case == 0, at("a/_", ".sql"))
+        .when(case == 1, at(".", ".json"))
+        .when(case == 2, at("node_modules/_", ".sql"))
+        .when(case == 3, at("_x/.y/", ".YML"))
+        .when(case == 4, at("bad/.", ".sql"))
+        .when(case == 5, at("plain/", ".ts"))
+        .when(case == 6, at("x/_", ".html"))
+        .otherwise(at("empty/_", ".tf"))
+    )
+    content = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    broken = F.concat(content, F.unhex(F.lit("C328")))
+    return read_table(spark, sf_dir, "pages").select(
+        path.alias("relative_path"),
+        F.when(case == 4, broken).when(case == 7, F.lit(b"")).otherwise(content).alias("content"),
+    )
+
+
+@_query
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory tree with hidden names, scanned whole."""
+    with _written(spark, _page_files(spark, sf_dir)) as root:
+        scanned = scan_directory(spark, root)
+        return materialise(
+            scanned.select("relative_path", "engine_type", F.md5("raw_content").alias("content_md5"))
+        )
+
+
+@_query
+def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that scan leaves out, and why; files above 3,000 bytes are too large here."""
+    with _written(spark, _page_files(spark, sf_dir)) as root:
+        return materialise(rejected_files(spark, root, most_bytes=3000))
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("docs/_"), "doc_id", F.lit(".yaml"))
+    return read_table(spark, sf_dir, "documents").select(
+        path.alias("relative_path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    )
+
+
+# far smaller than a file, so that most lines lie beside or across a border
+_RANGE = 700
+
+
+@_query
+def range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, read by ranges: the last line and the characters of each."""
+    with _written(spark, _document_files(spark, sf_dir)) as root:
+        lines, _ = scan_lines(spark, root, _RANGE)
+        return materialise(
+            lines.groupBy("relative_path").agg(
+                F.max("line_number").alias("last_line"),
+                F.count("*").alias("lines"),
+                F.sum(F.length("line")).alias("characters"),
+            )
+        )
+
+
+@_query
+def range_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line rule over the lines of those ranges."""
+    pii = [rule for rule in NDPA_RULES if rule.rule_id == "NDPA-003"]
+    with _written(spark, _document_files(spark, sf_dir)) as root:
+        lines, _ = scan_lines(spark, root, _RANGE)
+        return materialise(line_findings(lines, pii).select("rule_id", "relative_path", "line_number"))
+
+
 @_query
 def engine_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ddl_files(spark, sf_dir).groupBy("engine_type").agg(F.count("*").alias("files"))
@@ -393,21 +496,6 @@ def archive_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_archives(_archives(spark, sf_dir))
 
 
-@_query
-def live_schema_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of all given tables, and of two views that name personal data."""
-    frames = {name: read_table(spark, sf_dir, name) for name in TABLES}
-    frames["people_view"] = frames["customer"].selectExpr(
-        "c_custkey AS bvn", "c_name AS national_id_hash", "c_acctbal AS card_pan"
-    )
-    frames["cards_view"] = frames["supplier"].selectExpr(
-        "cast(s_name AS binary) AS nin", "s_suppkey AS pan_token", "s_acctbal AS total"
-    )
-    return classify_columns(live_columns(spark, frames)).select(
-        "table_name", "col_ord", "name", "classification", "is_violation"
-    )
-
-
 # --- schema rules and summaries -----------------------------------------------------------------
 
 

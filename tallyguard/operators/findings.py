@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,15 +69,21 @@ def finding_records(findings: DataFrame) -> DataFrame:
     return findings.select(*FINDING_COLUMNS)
 
 
-def first_per_rule(findings: DataFrame) -> DataFrame:
-    """The first finding of every rule, in finding order; combined before the shuffle."""
-    key = F.struct(*ORDER_KEY)
-    columns = [c for c in findings.columns if c != "rule_id"]
-    return (
-        findings.groupBy("rule_id")
-        .agg(F.min_by(F.struct(*columns), key).alias("first"))
-        .select("rule_id", "first.*")
+def first_per_rule(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The first finding of every rule (of every group), in finding order.
+
+    The smallest keys are found first, from the keys alone and combined before the shuffle; the findings
+    with these keys are then taken. ``findings`` are read twice, so store what is costly to make.
+    """
+    names = [*by, "rule_id", *ORDER_KEY]
+    first = (
+        findings.groupBy(*by, "rule_id")
+        .agg(F.min(F.struct(*ORDER_KEY)).alias("k"))
+        .select(*by, "rule_id", "k.*")
+        .toDF(*[f"_f_{c}" for c in names])
     )
+    same = [findings[c].eqNullSafe(first[f"_f_{c}"]) for c in names]
+    return findings.join(first, same, "left_semi")
 
 
 def rules_per_table(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -98,9 +106,10 @@ def sarif_level(tier: Column) -> Column:
     )
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """(order key, rule_id, level, message, uri, start_line), one row per finding."""
+def sarif_results(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, order key, rule_id, level, message, uri, start_line), one row per finding."""
     return findings.select(
+        *by,
         *ORDER_KEY,
         "rule_id",
         sarif_level(F.col("risk_tier")).alias("level"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.operators.numbering import number_rows
+from tallyguard.operators.materialise import materialise
+from tallyguard.operators.numbering import number_rows, number_rows_by
 
 # Leaves that one row reduces at a time: 2**10 hashes, some 80 kB.
 LEVELS_PER_PASS = 10
@@ -86,3 +87,62 @@ def merkle_root(
     return nodes.select(
         F.lit(total).cast("bigint").alias("leaf_count"), F.col("h").alias("merkle_root")
     )
+
+
+def _levels_of(remaining: Column) -> Column:
+    """How often a list of so many nodes has to be halved: the bits of remaining - 1."""
+    return F.when(remaining > 1, F.length(F.bin(remaining - 1))).otherwise(0)
+
+
+def merkle_roots(
+    df: DataFrame,
+    by: Sequence[str],
+    order_by: Sequence[str | Column],
+    leaf: str | Column,
+    levels_per_pass: int = LEVELS_PER_PASS,
+) -> DataFrame:
+    """(by, leaf_count, merkle_root): the root of every group, in the given total order within it.
+
+    All groups are folded in the same passes. A run holds at most 2**levels_per_pass nodes of one group;
+    a group that needs fewer levels is done with fewer, and its root then passes through. A group
+    exists by its rows, so none is empty.
+    """
+    leaf = F.col(leaf) if isinstance(leaf, str) else leaf
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    named = [key.alias(f"_k{i}") for i, key in enumerate(keys)]
+    hashed = df.select(*by, *named, F.sha2(leaf, 256).alias("h"))
+    numbered, groups = number_rows_by(hashed, by, [f"_k{i}" for i in range(len(keys))])
+    largest = groups.agg(F.max("rows").alias("n")).first()["n"] or 0
+    sizes = groups.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("rows").alias("leaf_count"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    nodes = numbered.join(sizes, same).select(
+        *by, "idx", "h", "leaf_count", F.col("leaf_count").alias("remaining")
+    )
+    while largest > 1:
+        levels = F.least(F.lit(levels_per_pass), _levels_of(F.col("remaining"))).cast("int")
+        ordered = F.transform(
+            F.array_sort(F.collect_list(F.struct("idx", "h"))), lambda node: node["h"]
+        )
+        # every node of a group carries the same counts
+        counts = [F.first(c).alias(c) for c in ("leaf_count", "remaining", "levels")]
+        folded = F.when(
+            F.col("levels") > 0,
+            F.aggregate(
+                F.sequence(F.lit(1), F.greatest("levels", F.lit(1))), F.col("nodes"), lambda acc, _: _next_level(acc)
+            ),
+        ).otherwise(F.col("nodes"))
+        nodes = (
+            nodes.withColumn("levels", levels)
+            .withColumn("run", F.expr("shiftright(idx, levels)"))
+            .groupBy(*by, "run")
+            .agg(ordered.alias("nodes"), *counts)
+            .select(
+                *by,
+                F.col("run").alias("idx"),
+                folded.getItem(0).alias("h"),
+                "leaf_count",
+                (F.expr("shiftright(remaining - 1, levels)") + 1).alias("remaining"),
+            )
+        )
+        largest = ((largest - 1) >> levels_per_pass) + 1
+    return materialise(nodes.select(*by, "leaf_count", F.col("h").alias("merkle_root")))

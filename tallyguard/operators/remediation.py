@@ -80,8 +80,8 @@ def _named(table_name: str, default: str) -> Column:
     return F.coalesce(F.nullif(F.col(table_name), F.lit("")), F.lit(default))
 
 
-def remediation_statements(findings: DataFrame) -> DataFrame:
-    """(order key, rule_id, table_name, stmt_ord, statement), in the order of the script.
+def remediation_statements(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, order key, rule_id, table_name, stmt_ord, statement), in the order of the script.
 
     Every finding gives two comment lines and, by rule, further statements. Findings of other
     rules only get their comments.
@@ -103,6 +103,7 @@ def remediation_statements(findings: DataFrame) -> DataFrame:
             F.array(*comments, *[_fill(t, table) for t in templates]),
         ).otherwise(statements)
     return findings.select(
+        *by,
         *ORDER_KEY,
         "rule_id",
         table.alias("table_name"),

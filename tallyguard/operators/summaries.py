@@ -57,20 +57,45 @@ def tab_counts(findings: DataFrame) -> DataFrame:
     return _zero_filled(counts, "risk_tier", ["ALL", *tiers], findings.sparkSession)
 
 
-def rule_results(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule_ord, rule_id, rule_name, framework, passed, finding_count), every rule listed."""
-    counts = findings.groupBy("rule_id").agg(F.count("*").alias("n"))
-    return (
-        rules_frame(findings.sparkSession, rules)
-        .join(F.broadcast(counts), "rule_id", "left")
-        .select(
-            "rule_ord",
-            "rule_id",
-            "rule_name",
-            "framework",
-            F.col("n").isNull().alias("passed"),
-            F.coalesce("n", F.lit(0)).alias("finding_count"),
+def rule_results(
+    findings: DataFrame,
+    rules: Sequence[Rule],
+    by: Sequence[str] = (),
+    groups: DataFrame | None = None,
+) -> DataFrame:
+    """(by, rule_ord, rule_id, rule_name, framework, passed, finding_count), every rule listed.
+
+    With ``by`` every group has all rules; ``groups`` names those that may have no finding.
+    """
+    counts = findings.groupBy(*by, "rule_id").agg(F.count("*").alias("n"))
+    listed = rules_frame(findings.sparkSession, rules)
+    if by:
+        # a row per group and rule: the rules are a fixed list
+        known = F.array(
+            *[
+                F.struct(
+                    F.lit(rule_ord).alias("rule_ord"),
+                    F.lit(rule.rule_id).alias("rule_id"),
+                    F.lit(rule.name).alias("rule_name"),
+                    F.lit(rule.framework).alias("framework"),
+                )
+                for rule, rule_ord, case in numbered(rules)
+                if case == 0
+            ]
         )
+        of_groups = (findings if groups is None else groups).select(*by).distinct()
+        listed = of_groups.select(*by, F.inline(known))
+        joined = listed.join(counts, [*by, "rule_id"], "left")
+    else:
+        joined = listed.join(F.broadcast(counts), "rule_id", "left")
+    return joined.select(
+        *by,
+        "rule_ord",
+        "rule_id",
+        "rule_name",
+        "framework",
+        F.col("n").isNull().alias("passed"),
+        F.coalesce("n", F.lit(0)).alias("finding_count"),
     )
 
 

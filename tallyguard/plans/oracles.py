@@ -576,9 +576,10 @@ _TABLES = {
         JOIN {_rule_rows(SCHEMA_RULES)} ON r.rule_id = c.rule_id WHERE c.present""",
     "final_schema_paths": f"""SELECT db, 'reconstituted_final_schema.sql' AS relative_path, count(*) AS file_count
         FROM ({MIGRATION_SQL}) GROUP BY db UNION ALL SELECT 'db_empty', 'unified_schema.sql', 0""",
-    "final_schema_texts": f"""SELECT db, relative_path,
-        concat(CASE WHEN row_number() OVER (PARTITION BY db ORDER BY relative_path) = 1 THEN '' ELSE chr(10) END, content) AS part
-        FROM ({MIGRATION_SQL})""",
+    "final_schema_texts": f"""WITH texts AS (
+          SELECT *, row_number() OVER (PARTITION BY db ORDER BY relative_path) AS n FROM ({MIGRATION_SQL}))
+        SELECT db, relative_path, 1 AS at, content AS line FROM texts
+        UNION ALL SELECT db, relative_path, 0, '' FROM texts WHERE n > 1""",
     "migration_chains": f"""WITH {_MIGRATION} SELECT db, file_count, path,
         'Generic SQL / Migration DDL' AS engine_type, false AS has_cascade_text,
         CAST(0 AS BIGINT) AS secret_count FROM chains""",
@@ -599,6 +600,10 @@ _TABLES = {
           UNION ALL SELECT 3, row_number() OVER (ORDER BY rule_ord, relative_path, table_ord NULLS FIRST,
               col_ord NULLS FIRST, stmt_ord), statement FROM ({_STATEMENT_ROWS}))
         SELECT row_number() OVER (ORDER BY section, spot) - 1 AS place, line FROM parts""",
+    "findings_by_severity": _WITH_FOUND
+    + f"""SELECT row_number() OVER (ORDER BY w DESC, rule_ord, relative_path, table_ord, col_ord) - 1 AS place,
+          risk_tier, rule_id, relative_path, table_ord, col_ord
+        FROM found JOIN (VALUES {_TIER_ROWS}) AS v(risk_tier, w) USING (risk_tier)""",
     "patched_ddl": f"{_WITH_FOUND}, {_BROKEN} SELECT db, table_name, relative_path, patched_ddl FROM rewritten",
     "patched_schema": f"""{_WITH_FOUND}, {_BROKEN},
         main AS (SELECT k, patched_ddl FROM rewritten WHERE table_ord = 0),
@@ -623,6 +628,20 @@ _TABLES = {
           GROUP BY lvl, i // 2)
         SELECT (SELECT count(*) FROM orders) AS leaf_count, h AS merkle_root
         FROM tree WHERE lvl = (SELECT max(lvl) FROM tree)""",
+    "nation_merkle_roots": """WITH RECURSIVE leaves AS (
+          SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE c_nationkey END AS nation, o_orderkey,
+            sha256(concat(CAST(o_orderkey AS STRING), '|', o_orderstatus)) AS h
+          FROM orders JOIN customer ON o_custkey = c_custkey),
+        numbered AS (
+          SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY o_orderkey) - 1 AS i, h,
+            count(*) OVER (PARTITION BY nation) AS n FROM leaves),
+        tree(nation, i, h, n, lvl) AS (
+          SELECT nation, i, h, n, 0 FROM numbered
+          UNION ALL
+          SELECT nation, i // 2, sha256(concat(arg_min(h, i), arg_max(h, i))), (n + 1) // 2, lvl + 1
+          FROM tree WHERE n > 1 GROUP BY nation, i // 2, n, lvl)
+        SELECT nation, (SELECT count(*) FROM leaves l WHERE l.nation = tree.nation) AS leaf_count,
+          h AS merkle_root FROM tree WHERE n = 1""",
     "schema_claims": f"""{_WITH_FOUND}, results AS ({_results(SCHEMA_RULES, "found")})
         SELECT rule_ord, concat('rule:', rule_id, '|passed:', CASE WHEN passed THEN 'True' ELSE 'False' END,
           '|framework:', framework) AS claim FROM results""",
@@ -644,4 +663,105 @@ _TABLES = {
         left(sha256(concat(url, '|2024-01-01T00:00:00+00:00')), 16) AS fingerprint FROM pages""",
 }
 
-ORACLES: dict[str, str] = dict(_TABLES)
+# --- documents per database -----------------------------------------------------------------------
+#
+# Parts are (db, section, spot, line); a line's place is its rank among the lines of its database.
+
+_PLACED = """SELECT db, row_number() OVER (PARTITION BY db ORDER BY section, spot) - 1 AS place, line FROM parts"""
+_FINDING_JSON = """CAST(json_object('rule_id', rule_id, 'title', title, 'description', description,
+  'framework', framework, 'risk_tier', risk_tier, 'file_path', file_path, 'line_number', NULL,
+  'table_name', nullif(table_name, ''), 'column_name', nullif(column_name, ''), 'code_snippet', '',
+  'remediation', remediation, 'reference', reference) AS VARCHAR)"""
+
+
+def _object(pairs: list[tuple[str, str]]) -> str:
+    return "json_object(" + ", ".join(f"{_q(name)}, {value}" for name, value in pairs) + ")"
+
+
+def _lines_of(section: int, texts: list[str]) -> str:
+    rows = ", ".join(f"({i}, {text})" for i, text in enumerate(texts))
+    return f"SELECT db, {section} AS section, spot, line FROM groups, (VALUES {rows}) AS v(spot, line)"
+
+
+def _listed(section: int, source: str, order: str, json: str) -> str:
+    return f"""SELECT db, {section}, row_number() OVER (PARTITION BY db ORDER BY {order}),
+      concat(CASE WHEN row_number() OVER (PARTITION BY db ORDER BY {order}) = 1 THEN '' ELSE ',' END, {json})
+      FROM {source}"""
+
+
+_FINDING_ORDER = "rule_ord, relative_path, table_ord, col_ord"
+_FRAMEWORK_COUNTS = _object(
+    [(f, f"(SELECT count(*) FROM found x WHERE x.db = t.db AND x.framework = {_q(f)})") for f in FRAMEWORKS]
+)
+_SUMMARY_JSON = _object(
+    [
+        *((c, c) for c in (
+            "total_files_scanned", "total_tables_audited", "total_ledger_tables_found",
+            "total_secrets_redacted", "overall_risk_tier", "compliance_score",
+        )),
+        ("risk_breakdown", _object([(t, f"{t.lower()}_findings") for t, _ in TIERS])),
+        ("framework_breakdown", _FRAMEWORK_COUNTS),
+    ]
+)
+_METADATA_JSON = """{"tool":"tallyguard","version":"1.0.0","scan_target":"/data/schemas","fingerprint":"0123456789abcdef","scan_started_at":"2024-01-01T00:00:00+00:00","scan_completed_at":"2024-01-01T00:01:00+00:00"}"""
+_REPORT = f"""{_WITH_FOUND}, groups AS (SELECT DISTINCT db FROM keys), totals AS ({_totals("db")}),
+    results AS (
+      SELECT g.db, r.rule_ord, r.rule_id, r.title AS rule_name, r.framework, count(f.rule_id) AS n
+      FROM groups g CROSS JOIN {_rule_rows(SCHEMA_RULES)}
+      LEFT JOIN found f ON f.rule_id = r.rule_id AND f.db = g.db WHERE r.case_ord = 0 GROUP BY ALL),
+    parts AS (
+      {_lines_of(0, [_q('{"metadata":')])} UNION ALL {_lines_of(1, [_q(_METADATA_JSON)])}
+      UNION ALL {_lines_of(2, [_q(',"summary":')])}
+      UNION ALL SELECT db, 3, 0, CAST({_SUMMARY_JSON} AS VARCHAR) FROM totals t
+      UNION ALL {_lines_of(4, [_q(',"findings":[')])}
+      UNION ALL {_listed(5, "found", _FINDING_ORDER, _FINDING_JSON)}
+      UNION ALL {_lines_of(6, [_q('],"rules":[')])}
+      UNION ALL {_listed(7, "results", "rule_ord", "CAST(json_object('rule_id', rule_id, 'rule_name', rule_name, 'framework', framework, 'passed', n = 0, 'finding_count', n) AS VARCHAR)")}
+      UNION ALL {_lines_of(8, [_q("]}")])})
+    {_PLACED}"""
+
+_SARIF_RULE = """CAST(json_object('id', rule_id, 'name', title, 'shortDescription', json_object('text', title),
+  'fullDescription', json_object('text', description),
+  'help', json_object('text', concat('Remediation: ', remediation, chr(10), 'Reference: ', reference)),
+  'properties', json_object('tags', json_array('compliance', 'financial-ledger', framework), 'precision', 'high')) AS VARCHAR)"""
+_SARIF_RESULT = f"""CAST(json_object('ruleId', rule_id, 'level', CASE risk_tier WHEN 'CRITICAL' THEN 'error'
+    WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END,
+  'message', json_object('text', concat(description, ' (Table: ', {_TABLE_OR_NA}, ')')),
+  'locations', json_array(json_object('physicalLocation', json_object(
+    'artifactLocation', json_object('uri', file_path), 'region', json_object('startLine', 1))))) AS VARCHAR)"""
+_SARIF = f"""{_WITH_FOUND}, groups AS (SELECT DISTINCT db FROM keys),
+    firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY db, rule_id ORDER BY {_FINDING_ORDER}) = 1),
+    parts AS (
+      {_lines_of(0, [
+          _q('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0",'),
+          _q('"runs":[{"tool":{"driver":{"name":"tallyguard","version":"1.0.0","rules":['),
+      ])}
+      UNION ALL {_listed(1, "firsts", "rule_ord", _SARIF_RULE)}
+      UNION ALL {_lines_of(2, [_q("]}},"), _q('"results":[')])}
+      UNION ALL {_listed(3, "found", _FINDING_ORDER, _SARIF_RESULT)}
+      UNION ALL {_lines_of(4, [_q("]}]}")])})
+    {_PLACED}"""
+
+_PATCHED_SCHEMA = _TABLES["patched_schema"]
+_RULER = "concat('-- ', repeat('=', 68))"
+_FIXED_SCHEMA = f"""{_WITH_FOUND}, groups AS (SELECT DISTINCT db FROM keys),
+    with_sql AS (SELECT DISTINCT db FROM keys WHERE NOT is_prisma),
+    texts AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY relative_path) AS n FROM ({_PATCHED_SCHEMA})),
+    guards AS (
+      SELECT db, table_name, min((relative_path, table_ord)) AS first
+      FROM found WHERE rule_id = 'FIN-IMM-001' AND db IN (SELECT db FROM with_sql) GROUP BY ALL),
+    parts AS (
+      {_lines_of(0, [_RULER, _q("-- tallyguard: database schema with remediations applied"), f"concat({_RULER}, chr(10))"])}
+      UNION ALL {_lines_of(1, ["concat(chr(10), '-- No .sql files found to rewrite.')"])} WHERE db NOT IN (SELECT db FROM with_sql)
+      UNION ALL SELECT db, 1, 2 * n, '' FROM texts WHERE n > 1
+      UNION ALL SELECT db, 1, 2 * n + 1, patched_content FROM texts
+      UNION ALL {_lines_of(2, ["concat(chr(10), chr(10), '-- Remediation Triggers & Audit Tables')"])} WHERE db IN (SELECT db FROM with_sql)
+      UNION ALL SELECT db, 3, row_number() OVER (PARTITION BY db ORDER BY first), {_fill(_TRAILER_GUARD, 'table_name')} FROM guards
+      UNION ALL {_lines_of(4, [f"concat(chr(10), {_q(_AUDIT_LOG)})"])} WHERE db IN (SELECT db FROM with_sql))
+    {_PLACED}"""
+
+ORACLES: dict[str, str] = _TABLES | {
+    "report_lines": _REPORT,
+    "sarif_lines": _SARIF,
+    "fixed_schema_lines": _FIXED_SCHEMA,
+}

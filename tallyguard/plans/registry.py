@@ -31,6 +31,7 @@ from tallyguard.operators.extraction import (
     with_tables,
 )
 from tallyguard.operators.findings import (
+    by_severity,
     filter_findings,
     finding_details,
     first_per_rule,
@@ -40,8 +41,8 @@ from tallyguard.operators.findings import (
 )
 from tallyguard.operators.ledger import negative_entries, unbalanced_groups
 from tallyguard.operators.materialise import materialise, shared_folder
-from tallyguard.operators.merkle import merkle_root
-from tallyguard.operators.numbering import number_rows
+from tallyguard.operators.merkle import merkle_root, merkle_roots
+from tallyguard.operators.numbering import number_rows, number_rows_by
 from tallyguard.operators.redaction import explode_lines, redact, redaction_hits
 from tallyguard.operators.remediation import (
     patched_files,
@@ -75,7 +76,15 @@ from tallyguard.plans.corpora import (
 )
 from tallyguard.rules.catalog import EMAIL, LINE_RULES, NDPA_RULES, SCHEMA_RULES
 from tallyguard.rules.model import TABLE, Rule, by_framework
-from tallyguard.sinks.documents import Target, remediation_script, write_findings
+from tallyguard.sinks.documents import (
+    Target,
+    document_keys,
+    fixed_schema,
+    json_report,
+    remediation_script,
+    sarif_document,
+    write_findings,
+)
 from tallyguard.sources.archives import archive_members, rejected_archives
 from tallyguard.sources.files import from_bytes, rejected_files, scan_directory, with_engine
 from tallyguard.sources.listing import opened_system
@@ -607,9 +616,16 @@ def findings_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest findings first, with the place of each, so that the order counts."""
+    placed, _ = number_rows(_findings(spark, sf_dir), by_severity(), "place")
+    return placed.select("place", "risk_tier", "rule_id", "relative_path", "table_ord", "col_ord")
+
+
 @_query
 def first_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_per_rule(_findings(spark, sf_dir)).select(
+    return first_per_rule(materialise(_findings(spark, sf_dir))).select(
         "rule_id", "title", "relative_path", "table_ord", "col_ord", "description"
     )
 
@@ -775,13 +791,45 @@ def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TARGET = Target(
+    "/data/schemas", "0123456789abcdef", "2024-01-01T00:00:00+00:00", "2024-01-01T00:01:00+00:00"
+)
+
+
+def _placed(document: DataFrame, by: list[str]) -> DataFrame:
+    """The lines of every document with their places, so that the order counts."""
+    return number_rows_by(document, by, document_keys(document, by), "place")[0].select(*by, "place", "line")
+
+
 @_query
 def remediation_script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """remediation.sql with the place of every part, so that the order counts."""
-    target = Target("/data/schemas", "0123456789abcdef", "", "")
-    script = remediation_script(_findings(spark, sf_dir), target)
-    keys = [c for c in script.columns if c != "line"]
-    return number_rows(script, keys, "place")[0].select("place", "line")
+    """remediation.sql of the whole corpus."""
+    script = remediation_script(_findings(spark, sf_dir), _TARGET)
+    return number_rows(script, document_keys(script), "place")[0].select("place", "line")
+
+
+@_query
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON report of every database."""
+    audited = materialise(_audited(spark, sf_dir).select("db", "tables", "redacted", "findings"))
+    findings = findings_of(audited, ["db"])
+    results = rule_results(findings, SCHEMA_RULES, ["db"], audited)
+    report = json_report(findings, audit_summary(audited, SCHEMA_RULES, ["db"]), results, _TARGET, ["db"])
+    return _placed(report, ["db"])
+
+
+@_query
+def sarif_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SARIF log of every database."""
+    findings = findings_of(_audited(spark, sf_dir), ["db"])
+    return _placed(sarif_document(findings, ["db"], _ddl_files(spark, sf_dir)), ["db"])
+
+
+@_query
+def fixed_schema_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """schema.fixed.sql of every database."""
+    files = _ddl_files(spark, sf_dir)
+    return _placed(fixed_schema(files, findings_of(audited_files(files), ["db"]), ["db"]), ["db"])
 
 
 # --- attestation --------------------------------------------------------------------------------
@@ -795,6 +843,20 @@ def orders_merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_root(orders, ["o_orderkey"], "leaf")
 
 
+@_query
+def nation_merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root over the orders of every nation; a third of the orders count as one nation's."""
+    owners = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = read_table(spark, sf_dir, "orders").join(owners, F.col("o_custkey") == F.col("c_custkey"))
+    leaves = orders.select(
+        F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("c_nationkey")).alias("nation"),
+        "o_orderkey",
+        F.concat_ws("|", F.col("o_orderkey"), F.col("o_orderstatus")).alias("leaf"),
+    )
+    # short runs, so that several passes are needed
+    return merkle_roots(leaves, ["nation"], ["o_orderkey"], "leaf", levels_per_pass=3)
+
+
 @_query
 def schema_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_claims(rule_results(_findings(spark, sf_dir), SCHEMA_RULES))

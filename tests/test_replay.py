@@ -132,9 +132,9 @@ def test_totals_with_the_final_schema(parsed, made):
 
 
 def test_joined_text(parsed, chains):
-    rows = final_schema_text(parsed, ["db"]).orderBy("db", "relative_path").collect()
+    rows = final_schema_text(parsed, ["db"]).orderBy("db", "relative_path", "at").collect()
     for db, files in chains.items():
-        joined = "\n".join(r["part"] for r in rows if r["db"] == db)
+        joined = "\n".join(r["line"] for r in rows if r["db"] == db)
         assert joined == "\n\n".join(files[p] for p in sorted(files))
 
 

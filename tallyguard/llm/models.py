@@ -30,10 +30,15 @@ def _give_back() -> None:
         trim(0)
 
 
-def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` for mapInArrow, which does not leave its freed memory in a worker that is idle then."""
+def tidy(work: Callable[[Iterator], Iterator], model: bool = False) -> Callable[[Iterator], Iterator]:
+    """``work`` for mapInArrow, which does not leave its freed memory in a worker that is idle then.
+
+    Work without a ``model`` lets go of the one that earlier work of this worker has left.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        if not model:
+            _held.clear()
         try:
             yield from work(batches)
         finally:

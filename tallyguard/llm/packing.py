@@ -3,8 +3,10 @@
 Every partition packs its own pieces by best fit, longest first. Bins that are nearly full are final.
 The others are items of the next round: the bins of some neighbouring partitions meet in one group,
 are packed by best fit as whole items, and what is still underfull goes one level up the tree, until
-one group is left. A group never holds more than ``FAN_IN * CARRIED`` bins; bins beyond that number,
-the fullest ones first, become final as they are.
+one group is left. Of a group's underfull bins the ``CARRIED`` emptiest go up; the fuller ones become
+final as they are, so a group above the first level holds at most ``FAN_IN * CARRIED`` bins. At the first
+level it holds the underfull bins of ``FAN_IN`` partitions. A partition packs ``LOCAL_ITEMS`` pieces at a
+time; bins of two such runs meet in the tree only.
 """
 
 from __future__ import annotations
@@ -153,6 +155,12 @@ def token_pieces(
     Columns: id, piece, start, length, ids_crc32, and on request ``ids`` (little-endian unsigned
     32-bit numbers). A null text counts as empty and is the end id alone.
     """
+    texts, cut, schema = _cutting(docs, tokenizer_file, end_id, capacity, id_col, text_col, with_ids)
+    return texts.mapInArrow(tidy(cut, model=True), schema)
+
+
+def _cutting(docs, tokenizer_file, end_id, capacity, id_col, text_col, with_ids):
+    """The texts, the work on their batches and the schema of what it gives."""
     fields = ["piece int", "start long", "length long", "ids_crc32 long"] + ["ids binary"] * with_ids
     key = docs.select(F.col(id_col).alias(id_col)).schema[0]
     schema = f"`{id_col}` {key.dataType.simpleString()}, {', '.join(fields)}"
@@ -182,7 +190,7 @@ def token_pieces(
     texts = docs.select(
         F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    return texts.mapInArrow(tidy(cut), schema)
+    return texts, cut, schema
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -209,9 +217,11 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, offsets, fill
 
 
-def _pack_partitions(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds node, bin, offset and the bin's fill; bins are those of one partition."""
-    schema = pieces.schema.simpleString()[7:-1] + ",node int,bin long,offset long,fill long"
+_PLACED = "node int, bin long, offset long, fill long"
+
+
+def _packing(capacity: int):
+    """The work that adds node, bin, offset and the bin's fill; bins are those of one partition."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -239,7 +249,7 @@ def _pack_partitions(pieces: DataFrame, capacity: int) -> DataFrame:
         if count:
             yield from packed()
 
-    return pieces.mapInArrow(tidy(pack), schema)
+    return pack
 
 
 _LEVEL = "node int, bin long, fill long, members array<struct<bin:long,shift:long>>, final boolean"
@@ -279,7 +289,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> D
 
     Sequences have no gaps. Equal pieces are packed like any others; no pieces, no sequences.
     """
-    placed = materialise(_pack_partitions(pieces, capacity))
+    schema = pieces.schema.simpleString()[7:-1]
+    return _merged(pieces.mapInArrow(tidy(_packing(capacity)), f"{schema}, {_PLACED}"), capacity, fan_in)
+
+
+def _merged(placed: DataFrame, capacity: int, fan_in: int = FAN_IN) -> DataFrame:
+    """The bins of all partitions, merged up the tree."""
+    placed = materialise(placed)
     first_of_bin = placed.filter(
         (F.col("offset") == 0) & (F.col("fill") < NEARLY_FULL * capacity)
     )
@@ -319,6 +335,13 @@ def pack_documents(
     than a sequence are cut. Null and empty texts are one token; repeated rows are packed each; a
     null id stays null. Other columns are not read.
     """
-    pieces = token_pieces(docs, tokenizer_file, 0, capacity, id_col, text_col, with_ids)
+    texts, cut, schema = _cutting(docs, tokenizer_file, 0, capacity, id_col, text_col, with_ids)
+    pack_pieces = _packing(capacity)
+
+    def cut_and_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one worker does both
+        yield from pack_pieces(cut(batches))
+
+    placed = texts.mapInArrow(tidy(cut_and_pack, model=True), f"{schema}, {_PLACED}")
     columns = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return pack(pieces, capacity).select(*columns, *["ids"] * with_ids)
+    return _merged(placed, capacity).select(*columns, *["ids"] * with_ids)

@@ -21,10 +21,11 @@ from tallyguard.functions.facts import (
 )
 from tallyguard.functions.redaction import DEFAULT_PATTERNS, SecretPattern, redact_text
 from tallyguard.functions.text import explode_found
-from tallyguard.operators.cors import cors_block_findings
+from tallyguard.operators.cors import cors_event, findings_of_events
+from tallyguard.operators.materialise import materialise
 from tallyguard.operators.redaction import explode_lines
 from tallyguard.rules.catalog import CORS_BLOCK_CASE, LINE_RULES, SCHEMA_RULES
-from tallyguard.rules.engine import line_rule_findings, schema_findings
+from tallyguard.rules.engine import findings_of_matches, line_matches, line_rule_findings, schema_findings
 from tallyguard.rules.model import Rule
 
 def audited_files(
@@ -66,11 +67,16 @@ def line_findings(
     rules: Sequence[Rule] = LINE_RULES,
     patterns: Sequence[SecretPattern] = DEFAULT_PATTERNS,
 ) -> DataFrame:
-    """Findings of the line rules over (relative_path, line_number, line)."""
-    findings = line_rule_findings(lines, rules, patterns)
-    if any(rule.rule_id == CORS_BLOCK_CASE.rule_id for rule in rules):
-        findings = findings.unionByName(cors_block_findings(lines, rules, patterns))
-    return findings
+    """Findings of the line rules over (relative_path, line_number, line).
+
+    The lines are read and searched once. Where the rule with a state from line to line is asked for,
+    the matches, a few numbers each, are stored: its events then go on to their blocks.
+    """
+    if all(rule.rule_id != CORS_BLOCK_CASE.rule_id for rule in rules):
+        return line_rule_findings(lines, rules, patterns)
+    matches = materialise(line_matches(lines, rules, patterns, cors_event))
+    own = findings_of_matches(matches.filter("case_no >= 0"), rules)
+    return own.unionByName(findings_of_events(matches, rules))
 
 
 def line_findings_of_files(

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,58 +213,116 @@ def candidate_lines(
     return with_line_view(redacted, F.col("redacted.line"), F.col("redacted.hits"))
 
 
-def line_rule_findings(
+_MATCH_TYPE = "struct<case_no:int,sub_ord:int,description:string,remediation:string>"
+
+
+def line_matches(
     lines: DataFrame,
     rules: Sequence[Rule],
     patterns: Sequence[SecretPattern] = DEFAULT_PATTERNS,
+    event: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Findings of the rules that need nothing but their own line.
+    """(relative_path, line_number, case_no, sub_ord, description, remediation), one row per match.
 
-    ``lines`` has relative_path, line_number, line.
+    ``lines`` has relative_path, line_number, line, and is read once, whatever is asked of it:
+    ``case_no`` is the place of the case in ``rules``, and texts are null unless the case computes them.
+    ``event`` gives a number for a line that matters to later ones, 0 for others; such lines come out
+    as matches with the negative number.
     """
     file = F.struct(F.col("relative_path").alias("relative_path"))
-    static = _static_texts(rules)
-    place = {"file_path": F.col("relative_path"), "line_number": F.col("line_number")}
+    case_ords = [case_ord for _, _, case_ord in numbered(rules)]
 
-    def any_rule_holds(candidate: Column) -> Column:
-        result = F.lit(False)
+    def is_candidate(view: Column) -> Column:
+        result = F.lit(False) if event is None else event(view) > 0
         for rule in rules:
             if rule.grain == LINE:
-                result = result | rule.when(Scope(file, line=candidate))
+                result = result | rule.when(Scope(file, line=view))
         return result
 
+    def match(case_no: Column, sub_ord: Column, texts: Column) -> Column:
+        return F.struct(
+            case_no.cast("int").alias("case_no"),
+            sub_ord.cast("int").alias("sub_ord"),
+            texts["description"].alias("description"),
+            texts["remediation"].alias("remediation"),
+        )
+
     def on_hit(hit: Column, position: Column) -> Column:
-        scope = Scope(file, line=F.col("view"), hit=hit)
-        return _findings(rules, HIT, scope, static, sub_ord=position, **place)
+        found = _matches(rules, HIT, Scope(file, line=F.col("view"), hit=hit))
+        return F.transform(found, lambda m: match(m["case_no"], position, m))
 
-    parts = []
+    parts = [F.expr(f"cast(array() as array<{_MATCH_TYPE}>)")]
     if any(rule.grain == LINE for rule in rules):
-        parts.append(_findings(rules, LINE, Scope(file, line=F.col("view")), static, **place))
+        ords = F.array(*[F.lit(n) for n in case_ords])
+        found = _matches(rules, LINE, Scope(file, line=F.col("view")))
+        parts.append(F.transform(found, lambda m: match(m["case_no"], F.get(ords, m["case_no"]), m)))
     if any(rule.grain == HIT for rule in rules):
         parts.append(F.flatten(F.transform(F.col("view.hits"), on_hit)))
+    if event is not None:
+        nothing = F.lit(None).cast("struct<description:string,remediation:string>")
+        of_line = let(event(F.col("view")), lambda kind: F.array(match(-kind, F.lit(0), nothing)))
+        parts.append(F.filter(of_line, lambda m: m["case_no"] < 0))
     return (
-        candidate_lines(lines, any_rule_holds, patterns)
-        .select(explode_found(F.concat(*parts)).alias("f"))
-        .filter(F.col("f").isNotNull())
-        .select("f.*")
+        candidate_lines(lines, is_candidate, patterns)
+        .select("relative_path", "line_number", explode_found(F.concat(*parts)).alias("m"))
+        .filter(F.col("m").isNotNull())
+        .select("relative_path", "line_number", "m.*")
     )
 
 
+def findings_of_matches(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The findings of line matches; the texts of the rules are put in here."""
+    nothing = F.lit(None).cast("string")
+
+    def complete(text: Column) -> Column:
+        return F.struct(
+            text["rule_ord"].alias("rule_ord"),
+            F.col("relative_path").alias("relative_path"),
+            F.lit(-1).alias("table_ord"),
+            F.lit(-1).alias("col_ord"),
+            F.col("sub_ord").alias("sub_ord"),
+            text["rule_id"].alias("rule_id"),
+            text["title"].alias("title"),
+            F.coalesce("description", text["description"]).alias("description"),
+            text["framework"].alias("framework"),
+            text["risk_tier"].alias("risk_tier"),
+            F.col("relative_path").alias("file_path"),
+            F.col("line_number").cast("bigint").alias("line_number"),
+            nothing.alias("table_name"),
+            nothing.alias("column_name"),
+            F.lit("").alias("code_snippet"),
+            F.coalesce("remediation", text["remediation"]).alias("remediation"),
+            text["reference"].alias("reference"),
+        )
+
+    found = let(F.get(_static_texts(rules), F.col("case_no")), complete)
+    return matches.select(found.alias("f")).select("f.*")
+
+
+def line_rule_findings(
+    lines: DataFrame,
+    rules: Sequence[Rule],
+    patterns: Sequence[SecretPattern] = DEFAULT_PATTERNS,
+) -> DataFrame:
+    """Findings of the rules that need nothing but their own line.
+
+    ``lines`` has relative_path, line_number, line.
+    """
+    return findings_of_matches(line_matches(lines, rules, patterns), rules)
+
+
 def findings_of_case(rows: DataFrame, rules: Sequence[Rule], case: Rule) -> DataFrame:
     """One finding per (relative_path, line_number) row, for a further case of a rule that was
     evaluated elsewhere; it comes after the cases in ``rules``."""
-    with_case = [*(replace(r, grain="none") for r in rules), replace(case, when=_always)]
-    scope = Scope(F.struct(F.col("relative_path").alias("relative_path")))
-    found = _findings(
-        with_case,
-        LINE,
-        scope,
-        _static_texts(with_case),
-        file_path=F.col("relative_path"),
-        line_number=F.col("line_number"),
+    with_case = [*rules, case]
+    _, _, case_ord = numbered(with_case)[-1]
+    no_text = F.lit(None).cast("string")
+    matches = rows.select(
+        "relative_path",
+        "line_number",
+        F.lit(len(rules)).alias("case_no"),
+        F.lit(case_ord).alias("sub_ord"),
+        no_text.alias("description"),
+        no_text.alias("remediation"),
     )
-    return rows.select(explode_found(found).alias("f")).select("f.*")
-
-
-def _always(scope: Scope) -> Column:
-    return F.lit(True)
+    return findings_of_matches(matches, with_case)

@@ -8,6 +8,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tallyguard.operators.cors import cors_block_findings
+from tallyguard.plans import audit
+from tallyguard.rules.engine import line_matches
 from tallyguard.operators.findings import (
     filter_findings,
     finding_details,
@@ -229,12 +231,26 @@ def test_cors_state_over_blocks(spark):
     for size in (3, 1000):
         found = cors_block_findings(frame, LINE_RULES, lines_per_block=size)
         got = found.collect()
-        # the lines are searched once for both the events and the state between blocks
-        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+        # the lines are read and searched once
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Scan ") == 1
         assert {(r["relative_path"], r["line_number"]) for r in got} == expected
         assert len(got) == len(expected)
 
 
+def test_all_line_rules_search_the_lines_once(spark, monkeypatch):
+    rows = [("f", n, line) for n, line in enumerate(["cors:", "origin: *", "DEBUG=true", "x"] * 9, 1)]
+    frame = spark.createDataFrame(rows, "relative_path string, line_number bigint, line string")
+    searched = []
+    monkeypatch.setattr(audit, "line_matches", lambda *a: searched.append(a) or line_matches(*a))
+    found = audit.line_findings(frame)
+    assert len(searched) == 1
+    counts = Counter((r["rule_id"], r["sub_ord"]) for r in found.collect())
+    assert counts == {("CBN-002", 1): 9, ("CBN-004", 0): 9}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # what is left to do reads the stored matches
+    assert "replace(" not in plan and "RLIKE" not in plan.upper()
+
+
 def test_audit_is_one_pass(files_of):
     plan = findings_of(audited_files(files_of({"a.sql": "x"})))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan

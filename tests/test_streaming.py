@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tallyguard.plans.audit import audited_files, findings_of
+import os
+import random
+
+import pandas as pd
+import pytest
+
+from tallyguard.plans.audit import audited_files, findings_of, line_findings
 from tallyguard.sources.files import with_engine
-from tallyguard.streaming.incremental import append_findings, append_redacted
+from tallyguard.streaming.incremental import append_findings, append_line_findings, append_redacted
 
 
 def test_findings_of_new_files(spark, tmp_path, sql_schema, prisma_schema):
@@ -31,3 +37,25 @@ def test_redacted_texts(spark, tmp_path):
     back = spark.read.parquet(out)
     assert "value" not in back.columns
     assert sorted(r["redacted_text"] for r in back.collect()) == ["key=[REDACTED:GENERIC_SECRET]", "ok"]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 50])
+def test_line_findings_at_any_cut(spark, tmp_path, cut):
+    rnd = random.Random(cut)
+    pool = ["cors:", "allowed_origins: x", 'origin: "*", cors', "hosts: '*'", '"*"', "plain", "DEBUG=true", "x"]
+    schema = "relative_path string, line_number long, line string"
+    rows = [(f"f{i % 3}.yaml", i // 3 + 1, rnd.choice(pool)) for i in range(90)]
+    source = tmp_path / "lines"
+    source.mkdir()
+    for at in range(0, len(rows), cut * 3):
+        part = pd.DataFrame(rows[at : at + cut * 3], columns=["relative_path", "line_number", "line"])
+        part.sample(frac=1, random_state=at).to_parquet(source / f"{at:05}.parquet")
+        os.utime(source / f"{at:05}.parquet", (1_700_000_000 + at, 1_700_000_000 + at))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10 if cut == 1 else 1).parquet(str(source))
+    out = str(tmp_path / "out")
+    assert append_line_findings(stream, out, str(tmp_path / "state")).awaitTermination(240)
+    wanted = line_findings(spark.createDataFrame(rows, schema))
+    columns = ["rule_id", "relative_path", "line_number", "sub_ord", "description"]
+    found = sorted(map(tuple, spark.read.parquet(out).select(columns).collect()))
+    assert found == sorted(map(tuple, wanted.select(columns).collect()))
+    assert any(r[0] == "CBN-002" and r[3] == 1 for r in found)

@@ -238,11 +238,61 @@ def audit_summary_with_final_schema(
     ``final_findings`` what their replay gives. A chain is never gathered: its tables and findings
     add to the same sums row by row.
     """
+    return _with_final_schema(
+        _counted_files(audited, rules, by), chains, final_tables, final_findings, rules, by
+    )
+
+
+def file_counts(audited: DataFrame) -> Column:
+    """struct<tables, ledgers, secrets, findings>: what the counters need to know about a file."""
+    ledgers = F.filter(audited["tables"], lambda t: t["is_ledger_table"])
+    findings = F.transform(
+        audited["findings"],
+        lambda f: F.struct(f["rule_id"].alias("rule_id"), f["risk_tier"].alias("risk_tier")),
+    )
+    return F.struct(
+        F.size(audited["tables"]).alias("tables"),
+        F.size(ledgers).alias("ledgers"),
+        F.size(audited["redacted"]["hits"]).alias("secrets"),
+        findings.alias("findings"),
+    )
+
+
+def summary_of_counts(
+    counts: DataFrame,
+    chains: DataFrame,
+    final_tables: DataFrame,
+    final_findings: DataFrame,
+    rules: Sequence[Rule],
+    by: Sequence[str],
+) -> DataFrame:
+    """The same as :func:`audit_summary_with_final_schema`, from the :func:`file_counts` of the files."""
+    counted = _counted(
+        counts,
+        rules,
+        by,
+        files=1,
+        tables=F.col("tables"),
+        ledgers=F.col("ledgers"),
+        secrets=F.col("secrets"),
+        findings=F.col("findings"),
+    )
+    return _with_final_schema(counted, chains, final_tables, final_findings, rules, by)
+
+
+def _with_final_schema(
+    counted_files: DataFrame,
+    chains: DataFrame,
+    final_tables: DataFrame,
+    final_findings: DataFrame,
+    rules: Sequence[Rule],
+    by: Sequence[str],
+) -> DataFrame:
     chains = chains.select(*by, "secret_count")
     tables = final_tables.join(chains.select(*by), list(by), "left_semi")
     finding = F.array(F.struct("rule_id", "risk_tier"))
     parts = [
-        _counted_files(audited, rules, by),
+        counted_files,
         _counted(chains, rules, by, files=1, secrets=F.col("secret_count")),
         _counted(tables, rules, by, tables=1, ledgers=F.col("is_ledger_table").cast("int")),
         _counted(final_findings, rules, by, findings=finding),

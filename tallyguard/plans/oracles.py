@@ -574,6 +574,28 @@ _TABLES = {
           (k % 5 <> 0, 'FIN-IMM-002', concat('Ledger_', CAST(k AS STRING)), ''),
           (true, 'FIN-PII-001', concat('audit_', CAST(k AS STRING)), 'bvn')) AS c(present, rule_id, table_name, column_name)
         JOIN {_rule_rows(SCHEMA_RULES)} ON r.rule_id = c.rule_id WHERE c.present""",
+    "audit_totals_with_final_schema": f"""WITH {_MIGRATION},
+        sized AS (SELECT db, count(*) AS files FROM ({MIGRATION_SQL}) GROUP BY db),
+        judged AS (
+          SELECT {_MDB} AS db, c.* FROM base, LATERAL (VALUES
+            (true, false, 2, 1, 'FIN-DE-001'), (true, false, 0, 0, 'FIN-IMM-001'), (true, false, 0, 0, 'FIN-IMM-002'),
+            (true, false, 0, 0, 'FIN-PII-001'),
+            (k % 5 = 0, false, 1, 1, 'FIN-DE-001'), (k % 5 = 0, false, 0, 0, 'FIN-IMM-001'),
+            (k % 5 = 0, false, 0, 0, 'FIN-CBN-001'),
+            (true, true, 2, 1, 'FIN-DE-001'), (true, true, 0, 0, 'FIN-IMM-001'),
+            (k % 5 <> 0, true, 0, 0, 'FIN-IMM-002'), (true, true, 0, 0, 'FIN-PII-001')
+          ) AS c(present, of_chain, tables, ledgers, rule_id)
+          WHERE c.present),
+        counted AS (
+          SELECT j.*, s.files, CASE WHEN rule_id IN ('FIN-IMM-002', 'FIN-CBN-001') THEN 'HIGH' ELSE 'CRITICAL' END AS tier
+          FROM judged j JOIN sized s USING (db) WHERE NOT of_chain OR s.files > 1)
+        SELECT db, files + CASE WHEN files > 1 THEN 1 ELSE 0 END AS total_files_scanned,
+          CAST(sum(tables) AS BIGINT) AS total_tables_audited, CAST(sum(ledgers) AS BIGINT) AS total_ledger_tables_found,
+          CAST(0 AS BIGINT) AS total_secrets_redacted, count(*) AS total_findings,
+          count(*) FILTER (tier = 'CRITICAL') AS critical_findings, count(*) FILTER (tier = 'HIGH') AS high_findings,
+          CAST(0 AS BIGINT) AS medium_findings, CAST(0 AS BIGINT) AS low_findings, 'CRITICAL' AS overall_risk_tier,
+          round((8 - count(DISTINCT rule_id)) * 100.0 / 8, 1)::DOUBLE AS compliance_score
+        FROM counted GROUP BY db, files""",
     "final_schema_paths": f"""SELECT db, 'reconstituted_final_schema.sql' AS relative_path, count(*) AS file_count
         FROM ({MIGRATION_SQL}) GROUP BY db UNION ALL SELECT 'db_empty', 'unified_schema.sql', 0""",
     "final_schema_texts": f"""WITH texts AS (

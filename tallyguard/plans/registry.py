@@ -60,13 +60,13 @@ from tallyguard.operators.replay import (
 )
 from tallyguard.operators.summaries import (
     audit_summary,
-    audit_summary_with_final_schema,
     framework_summary,
     risk_summary,
     rule_results,
     tab_counts,
 )
 from tallyguard.plans.audit import audited_files, findings_of, line_findings
+from tallyguard.plans.chains import audit_chains
 from tallyguard.plans.corpora import (
     CONFIG_CORPUS,
     DDL_CORPUS,
@@ -724,16 +724,7 @@ def final_schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def audit_totals_with_final_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = _chain(spark, sf_dir)
-    tables, columns = replay(chain, ["db"])
-    return audit_summary_with_final_schema(
-        audited_files(chain),
-        chain_facts(chain, ["db"]),
-        tables,
-        final_schema_findings(chain, tables, columns, SCHEMA_RULES, ["db"]),
-        SCHEMA_RULES,
-        ["db"],
-    )
+    return audit_chains(with_engine(migration_corpus(spark, sf_dir)), ["db"])
 
 
 @_query

@@ -13,14 +13,20 @@ from tallyguard.operators.merkle import EMPTY_ROOT, merkle_root, root_of_array
 from tallyguard.operators.numbering import number_rows
 from tallyguard.operators.replay import (
     chain_facts,
+    final_columns,
     final_schema_findings,
     final_schema_text,
+    final_tables,
     numbered_columns,
     replay,
+    schema_events,
+    split_definitions,
 )
 from tallyguard.operators.summaries import audit_summary, audit_summary_with_final_schema
+from tallyguard.plans import chains as chains_plan
 from tallyguard.plans.audit import audited_files
 from tallyguard.rules.catalog import SCHEMA_RULES
+from tallyguard.sources.files import with_engine
 
 
 class Chain:
@@ -131,6 +137,43 @@ def test_totals_with_the_final_schema(parsed, made):
         assert row["compliance_score"] <= alone["compliance_score"]
 
 
+def test_chains_from_one_reading(spark, parsed, monkeypatch):
+    files = parsed.drop("tables")
+    tables, columns = replay(parsed, ["db"])
+    found = final_schema_findings(parsed, tables, columns, SCHEMA_RULES, ["db"])
+    wanted = audit_summary_with_final_schema(
+        audited_files(files), chain_facts(parsed, ["db"]), tables, found, SCHEMA_RULES, ["db"]
+    )
+    stored = []
+    keep = chains_plan.materialise
+    monkeypatch.setattr(chains_plan, "materialise", lambda df: stored.append(df) or keep(df))
+    got = chains_plan.audit_chains(files, ["db"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.select(got.columns).collect()))
+    # one reading of the texts, each of which is searched once per pattern
+    plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 20
+    assert "raw_content" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_column_with_most_events_spreads(spark):
+    rows = [("db", f"m{i:05}.sql", f"ALTER TABLE ledger ADD COLUMN hot INT{i};", "big") for i in range(4000)]
+    rows += [("db", f"n{i:05}.sql", f"ALTER TABLE ledger ADD COLUMN c{i} INT;", "big") for i in range(300)]
+    rows += [("db", "a.sql", "CREATE TABLE ledger (hot TEXT, cold TEXT);", "big")]
+    rows += [("db", "m02000_.sql", "ALTER TABLE ledger DROP COLUMN hot;", "big")]
+    frame = spark.createDataFrame(rows, "db string, relative_path string, content string, x string").repartition(8)
+    events = schema_events(with_tables(with_engine(frame)), ["db"])
+    tables = final_tables(events, ["db"])
+    hot, others = split_definitions(events, tables, ["db"], hot_columns=20)
+    counts = [r["count"] for r in hot.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(counts) == 1999 and len(counts) == 8 and max(counts) < 400
+    assert others.count() == 301
+    for share in (1, 20, 10_000):
+        columns = final_columns(events, tables, ["db"], share)
+        ranked = numbered_columns(columns, ["db"]).orderBy("col_ord").collect()
+        assert [r["name"] for r in ranked] == ["cold", "hot", *[f"c{i}" for i in range(300)]]
+        assert ranked[1]["data_type"] == "INT3999"
+
+
 def test_joined_text(parsed, chains):
     rows = final_schema_text(parsed, ["db"]).orderBy("db", "relative_path", "at").collect()
     for db, files in chains.items():

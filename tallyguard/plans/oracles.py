@@ -7,7 +7,6 @@ by searching the text, so the comparison does not share the method of the query.
 from __future__ import annotations
 
 from tallyguard.constants import CATEGORY_LABELS, CYBERSECURITY, FRAMEWORKS, TIERS
-from tallyguard.operators.remediation import _AUDIT_LOG, STATEMENTS, _TRAILER_GUARD
 from tallyguard.plans.corpora import (
     CKEY,
     CONFIG_CORPUS,
@@ -30,8 +29,13 @@ from tallyguard.plans.corpora import (
     STATUS_TYPE,
     TRIGGER_TEXT,
 )
-from tallyguard.rules.catalog import LINE_RULES, SCHEMA_RULES
-from tallyguard.rules.model import numbered
+from tallyguard.plans.expected_texts import (
+    AUDIT_LOG_TEXT,
+    GUARD_TEXT,
+    LINE_RULE_TEXTS,
+    SCHEMA_RULE_TEXTS,
+    STATEMENT_TEXTS,
+)
 
 
 def _q(text: str) -> str:
@@ -163,19 +167,12 @@ pii AS (
   FROM cols)"""
 
 
-def _rule_rows(rules) -> str:
-    rows = []
-    for rule, rule_ord, case_ord in numbered(rules):
-        description = rule.description if isinstance(rule.description, str) else ""
-        remediation = rule.remediation if isinstance(rule.remediation, str) else ""
-        rows.append(
-            f"({rule_ord}, {case_ord}, {_q(rule.rule_id)}, {_q(rule.name)}, {_q(rule.framework)},"
-            f" {_q(rule.tier)}, {_q(description)}, {_q(remediation)}, {_q(rule.reference)})"
-        )
+def _rule_rows(texts: list[tuple]) -> str:
+    rows = ", ".join(
+        "(" + ", ".join(str(v) if isinstance(v, int) else _q(v) for v in row) + ")" for row in texts
+    )
     return (
-        "(VALUES "
-        + ", ".join(rows)
-        + ") AS r(rule_ord, case_ord, rule_id, title, framework, risk_tier, description,"
+        f"(VALUES {rows}) AS r(rule_ord, case_ord, rule_id, title, framework, risk_tier, description,"
         " remediation, reference)"
     )
 
@@ -206,7 +203,7 @@ found AS (
     '' AS code_snippet,
     CASE WHEN p.hint <> '' THEN p.hint ELSE r.remediation END AS remediation, r.reference,
     p.db, p.k
-  FROM places p JOIN {_rule_rows(SCHEMA_RULES)} ON p.rule_id = r.rule_id)"""
+  FROM places p JOIN {_rule_rows(SCHEMA_RULE_TEXTS)} ON p.rule_id = r.rule_id)"""
 _WITH_DDL = f"WITH {_DDL} "
 _WITH_FOUND = f"WITH {_DDL}, {_FOUND} "
 _TABLE_OR_NA = "CASE WHEN table_name = '' THEN 'N/A' ELSE table_name END"
@@ -254,7 +251,7 @@ _STATEMENT_ROWS = " UNION ALL ".join(
     ]
     + [
         f"SELECT *, {2 + i}, {_fill(template, 'named')} FROM found WHERE rule_id = {_q(rule_id)}"
-        for rule_id, templates in STATEMENTS.items()
+        for rule_id, templates in STATEMENT_TEXTS.items()
         for i, template in enumerate(templates)
     ]
 )
@@ -318,11 +315,11 @@ config AS (
          WHEN h.rule_id = 'CBN-003' THEN concat('Log retention is ', CAST(event_id % 200 AS STRING), ' days, which is less than the required 90 days.')
          ELSE r.description END AS description,
     r.framework, r.risk_tier, r.remediation, r.reference
-  FROM hits h JOIN {_rule_rows(LINE_RULES)} ON h.rule_id = r.rule_id AND h.case_ord = r.case_ord
+  FROM hits h JOIN {_rule_rows(LINE_RULE_TEXTS)} ON h.rule_id = r.rule_id AND h.case_ord = r.case_ord
   UNION ALL
   SELECT r.rule_ord, r.rule_id, b.relative_path, b.line_number, 1, r.title, b.description,
     r.framework, r.risk_tier, r.remediation, r.reference
-  FROM block b JOIN {_rule_rows(LINE_RULES)} ON r.rule_id = 'CBN-002' AND r.case_ord = 0)"""
+  FROM block b JOIN {_rule_rows(LINE_RULE_TEXTS)} ON r.rule_id = 'CBN-002' AND r.case_ord = 0)"""
 
 # --- migration corpus -----------------------------------------------------------------------------
 
@@ -402,7 +399,7 @@ _TABLES = {
         FROM parts""",
     "config_findings": _CONFIG + " SELECT * FROM config",
     "cors_findings": f"WITH {_CORS} SELECT * FROM block",
-    "config_rule_results": _CONFIG + _results(LINE_RULES, "config"),
+    "config_rule_results": _CONFIG + _results(LINE_RULE_TEXTS, "config"),
     "seed_credentials": f"""SELECT relative_path, line_number,
         concat('Hardcoded credential detected: ', CASE category {" ".join(f"WHEN {_q(c)} THEN {_q(v)}" for c, v in CATEGORY_LABELS.items())} END) AS description
         FROM ({_SEED_HITS})""",
@@ -469,6 +466,9 @@ _TABLES = {
         CAST(any_value(has_constraint)::INT AS INT) AS constraint_count,
         CAST(any_value(has_trigger)::INT AS INT) AS trigger_count
         FROM cols GROUP BY relative_path, table_ord, name, is_ledger""",
+    "fallback_tables": _WITH_DDL
+    + """SELECT relative_path, table_ord, name, CAST(count(col_name) AS INT) AS column_count
+        FROM cols GROUP BY relative_path, table_ord, name""",
     "ddl_columns": _WITH_DDL
     + """SELECT relative_path, table_ord, name AS table_name, col_ord, col_name AS name, data_type,
         is_nullable, is_primary_key, is_foreign_key, refs AS "references" FROM cols""",
@@ -511,7 +511,7 @@ _TABLES = {
     + """SELECT 'USER-001' AS rule_id, relative_path, name AS table_name,
         concat(name, ' has ', CAST(count(*) AS STRING), ' columns') AS description, 'LOW' AS risk_tier
         FROM cols GROUP BY relative_path, table_ord, name HAVING count(*) >= 5 AND bool_or(is_foreign_key)""",
-    "schema_rule_results": _WITH_FOUND + _results(SCHEMA_RULES, "found"),
+    "schema_rule_results": _WITH_FOUND + _results(SCHEMA_RULE_TEXTS, "found"),
     "findings_per_tier": _WITH_FOUND
     + f"""SELECT v.risk_tier, count(f.rule_id) AS finding_count
         FROM (VALUES {_TIER_ROWS}) AS v(risk_tier, w) LEFT JOIN found f USING (risk_tier) GROUP BY 1""",
@@ -573,7 +573,7 @@ _TABLES = {
           (true, 'FIN-IMM-001', concat('Ledger_', CAST(k AS STRING)), ''),
           (k % 5 <> 0, 'FIN-IMM-002', concat('Ledger_', CAST(k AS STRING)), ''),
           (true, 'FIN-PII-001', concat('audit_', CAST(k AS STRING)), 'bvn')) AS c(present, rule_id, table_name, column_name)
-        JOIN {_rule_rows(SCHEMA_RULES)} ON r.rule_id = c.rule_id WHERE c.present""",
+        JOIN {_rule_rows(SCHEMA_RULE_TEXTS)} ON r.rule_id = c.rule_id WHERE c.present""",
     "audit_totals_with_final_schema": f"""WITH {_MIGRATION},
         sized AS (SELECT db, count(*) AS files FROM ({MIGRATION_SQL}) GROUP BY db),
         judged AS (
@@ -637,7 +637,7 @@ _TABLES = {
             audit_created, coalesce(audit.patched_ddl, audit_created)) AS patched_content
         FROM whole LEFT JOIN main USING (k) LEFT JOIN audit USING (k)""",
     "guard_triggers": f"""{_WITH_FOUND}
-        SELECT DISTINCT db, table_name, {_fill(_TRAILER_GUARD, 'table_name')} AS statement
+        SELECT DISTINCT db, table_name, {_fill(GUARD_TEXT, 'table_name')} AS statement
         FROM found WHERE rule_id = 'FIN-IMM-001'""",
     "orders_merkle_root": """WITH RECURSIVE leaves AS (
           SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i,
@@ -664,10 +664,10 @@ _TABLES = {
           FROM tree WHERE n > 1 GROUP BY nation, i // 2, n, lvl)
         SELECT nation, (SELECT count(*) FROM leaves l WHERE l.nation = tree.nation) AS leaf_count,
           h AS merkle_root FROM tree WHERE n = 1""",
-    "schema_claims": f"""{_WITH_FOUND}, results AS ({_results(SCHEMA_RULES, "found")})
+    "schema_claims": f"""{_WITH_FOUND}, results AS ({_results(SCHEMA_RULE_TEXTS, "found")})
         SELECT rule_ord, concat('rule:', rule_id, '|passed:', CASE WHEN passed THEN 'True' ELSE 'False' END,
           '|framework:', framework) AS claim FROM results""",
-    "attestation": f"""{_WITH_FOUND}, results AS ({_results(SCHEMA_RULES, "found")}),
+    "attestation": f"""{_WITH_FOUND}, results AS ({_results(SCHEMA_RULE_TEXTS, "found")}),
         h0 AS (SELECT rule_ord AS i, sha256(concat('rule:', rule_id, '|passed:', CASE WHEN passed THEN 'True' ELSE 'False' END,
           '|framework:', framework)) AS h FROM results),
         h1 AS (SELECT i // 2 AS i, sha256(concat(arg_min(h, i), arg_max(h, i))) AS h FROM h0 GROUP BY 1),
@@ -729,7 +729,7 @@ _METADATA_JSON = """{"tool":"tallyguard","version":"1.0.0","scan_target":"/data/
 _REPORT = f"""{_WITH_FOUND}, groups AS (SELECT DISTINCT db FROM keys), totals AS ({_totals("db")}),
     results AS (
       SELECT g.db, r.rule_ord, r.rule_id, r.title AS rule_name, r.framework, count(f.rule_id) AS n
-      FROM groups g CROSS JOIN {_rule_rows(SCHEMA_RULES)}
+      FROM groups g CROSS JOIN {_rule_rows(SCHEMA_RULE_TEXTS)}
       LEFT JOIN found f ON f.rule_id = r.rule_id AND f.db = g.db WHERE r.case_ord = 0 GROUP BY ALL),
     parts AS (
       {_lines_of(0, [_q('{"metadata":')])} UNION ALL {_lines_of(1, [_q(_METADATA_JSON)])}
@@ -778,8 +778,8 @@ _FIXED_SCHEMA = f"""{_WITH_FOUND}, groups AS (SELECT DISTINCT db FROM keys),
       UNION ALL SELECT db, 1, 2 * n, '' FROM texts WHERE n > 1
       UNION ALL SELECT db, 1, 2 * n + 1, patched_content FROM texts
       UNION ALL {_lines_of(2, ["concat(chr(10), chr(10), '-- Remediation Triggers & Audit Tables')"])} WHERE db IN (SELECT db FROM with_sql)
-      UNION ALL SELECT db, 3, row_number() OVER (PARTITION BY db ORDER BY first), {_fill(_TRAILER_GUARD, 'table_name')} FROM guards
-      UNION ALL {_lines_of(4, [f"concat(chr(10), {_q(_AUDIT_LOG)})"])} WHERE db IN (SELECT db FROM with_sql))
+      UNION ALL SELECT db, 3, row_number() OVER (PARTITION BY db ORDER BY first), {_fill(GUARD_TEXT, 'table_name')} FROM guards
+      UNION ALL {_lines_of(4, [f"concat(chr(10), {_q(AUDIT_LOG_TEXT)})"])} WHERE db IN (SELECT db FROM with_sql))
     {_PLACED}"""
 
 ORACLES: dict[str, str] = _TABLES | {

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.constants import CYBERSECURITY
 from tallyguard.functions.attestation import target_fingerprint
+from tallyguard.functions.ddl import prisma_tables, sql_tables
 from tallyguard.functions.redaction import SecretPattern
 from tallyguard.operators.attestation import attest, rule_claims
 from tallyguard.operators.cors import cors_block_findings
@@ -406,6 +407,16 @@ def ddl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def fallback_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text read as SQL, and where that finds nothing, as a Prisma schema; no engine type is used."""
+    unknown = _ddl_files(spark, sf_dir).withColumn("engine_type", F.lit(""))
+    parsed = with_tables(unknown, extractors=[sql_tables, prisma_tables])
+    return tables_of(parsed).select(
+        "relative_path", "table_ord", "name", F.size("columns").alias("column_count")
+    )
+
+
 @_query
 def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns_of(with_tables(_ddl_files(spark, sf_dir))).withColumn(

@@ -16,6 +16,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,11 +32,14 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 SPACING = frozenset(["br", "wbr", "img", "hr"])
-# elements whose content is never text of the page
-DROPPED = frozenset(
-    "script style noscript template title textarea select option button svg math iframe object"
-    " audio video canvas datalist noframes xmp".split()
+# elements whose content is never text of the page; that of the first ones is not markup either
+RAW = frozenset("script style title textarea iframe noframes xmp".split())
+DROPPED = RAW | frozenset(
+    "noscript template select option button svg math object audio video canvas datalist".split()
 )
+FOREIGN = frozenset(["svg", "math"])
+# pages that hide all they have until a script has run are read
+ROOTS = frozenset(["html", "body"])
 CLOSED_BY_BLOCK = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"])
 SIBLINGS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -92,6 +96,7 @@ class Element:
     depth: int
     weight: float
     kind: str
+    hidden: bool = False
 
 
 @dataclass(slots=True)
@@ -127,7 +132,11 @@ def _attributes(raw: str) -> tuple[float, str, bool]:
 
 
 class _Reader:
-    """Builds the blocks of one page. Tags that are missing or too many are made up for."""
+    """Builds the blocks of one page. Tags that are missing or too many are made up for.
+
+    What stands in a hidden element is left out up to where the element ends, by its closing tag or by
+    the rules that imply one; so a hidden element that nothing closes ends with the one around it.
+    """
 
     def __init__(self) -> None:
         self.top = Element("", 0, None, 0, 0.0, "")
@@ -137,9 +146,11 @@ class _Reader:
         self.links = 0
         self.in_link = 0
         self.blocks: list[tuple[str, Element, int]] = []
+        # open hidden elements within a block: name, how many of that name are open, elements around it
+        self.hidden: list[list] = []
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.hidden and not self.stack[-1].hidden:
             self.parts.append(raw)
             if self.in_link:
                 self.links += len(raw.strip())
@@ -151,12 +162,16 @@ class _Reader:
                 self.blocks.append((text, self.stack[-1], self.links))
             self.parts, self.links = [], 0
 
-    def open(self, name: str, raw: str) -> bool:
-        """Whether the element is hidden, so that its content has to be skipped."""
+    def _cut_stack(self, size: int) -> None:
+        del self.stack[size:]
+        while self.hidden and self.hidden[-1][2] > size:
+            self.hidden.pop()
+
+    def open(self, name: str, raw: str) -> None:
         if name in BLOCK:
             self.end_block()
             if self.stack[-1].name in CLOSED_BY_BLOCK:
-                self.stack.pop()
+                self._cut_stack(len(self.stack) - 1)
             if name in SIBLINGS:
                 self._close_siblings(SIBLINGS[name])
         elif name == "a":
@@ -164,23 +179,25 @@ class _Reader:
         elif name in SPACING:
             self.parts.append(" ")
         if name in VOID:
-            return False
+            return
         weight, kind, hidden = _attributes(raw) if raw.strip() else (0.0, "", False)
-        if hidden:
-            return True
         if name in BLOCK:
             above = self.stack[-1]
             self.number += 1
             own = weight + TAG_WEIGHT.get(name, 0.0)
+            hides = above.hidden or hidden and name not in ROOTS
             self.stack.append(
-                Element(name, self.number, above, above.depth + 1, above.weight + own, kind)
+                Element(name, self.number, above, above.depth + 1, above.weight + own, kind, hides)
             )
-        return False
+        elif self.hidden and self.hidden[-1][0] == name:
+            self.hidden[-1][1] += 1
+        elif hidden:
+            self.hidden.append([name, 1, len(self.stack)])
 
     def _close_siblings(self, names: set[str]) -> None:
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at].name in names:
-                del self.stack[at:]
+                self._cut_stack(at)
                 return
             if self.stack[at].name in LISTS:
                 return
@@ -189,55 +206,75 @@ class _Reader:
         if name == "a":
             self.in_link = 0
         if name not in BLOCK:
+            if self.hidden and self.hidden[-1][0] == name:
+                self.hidden[-1][1] -= 1
+                if not self.hidden[-1][1]:
+                    self.hidden.pop()
             return
         self.end_block()
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at].name == name:
-                del self.stack[at:]
+                self._cut_stack(at)
                 return
 
 
+@cache
+def _tags(name: str) -> re.Pattern:
+    """Opening and closing tags of a name; A-Z in either case, and no other letters that fold to them."""
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*+>", re.IGNORECASE | re.ASCII)
+
+
+def _end_of(page: str, name: str, at: int) -> int | None:
+    """Where the element ends that was opened just before ``at``; None if nothing closes it."""
+    depth = 1
+    for tag in _tags(name).finditer(page, at):
+        if tag[1]:
+            depth -= 1
+        elif name not in RAW and not tag[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return tag.end()
+    return None
+
+
 def blocks_of(page: str) -> list[tuple[str, Element, int]]:
-    """(text, element, characters in links) of every block, in page order."""
+    """(text, element, characters in links) of every block, in page order.
+
+    Of elements that are never text, scripts and the like reach to the end of the page when nothing
+    closes them; of others only the tag is dropped then.
+    """
     reader = _Reader()
-    at, skip, depth = 0, "", 0
-    lowered = None
+    at = 0
+    never_closed: set[str] = set()
     for token in _TOKEN.finditer(page):
         if token.start() < at:
             continue
-        if not skip:
-            reader.text(page[at : token.start()])
+        reader.text(page[at : token.start()])
         at = token.end()
         if token[0].startswith("<![CDATA["):
-            if not skip:
-                reader.text(entities.escape(token[0][9:].removesuffix("]]>")))
+            reader.text(entities.escape(token[0][9:].removesuffix("]]>")))
             continue
         name = (token[2] or token[5] or "").lower()
         if not name:
             continue
         closing, raw = bool(token[1] or token[4]), token[3] or token[6] or ""
-        if skip:
-            # content of a hidden element, up to the tag that closes it
-            if name == skip and name not in VOID and not raw.endswith("/"):
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            continue
         if closing:
             reader.close(name)
         elif name in DROPPED:
-            if name in BLOCK:
-                reader.end_block()
-            reader.parts.append(" ")
-            lowered = page.lower() if lowered is None else lowered
-            end = lowered.find(f"</{name}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = len(page) if close < 0 else close + 1
-        elif reader.open(name, raw):
-            reader.end_block()
-            skip, depth = name, 1
-    if not skip:
-        reader.text(page[at:])
+            reader.text(" ")
+            if name in FOREIGN and raw.endswith("/") or name in never_closed:
+                continue
+            end = _end_of(page, name, at)
+            if end is not None:
+                at = end
+            elif name in RAW:
+                at = len(page)
+            else:
+                # nor is any later one
+                never_closed.add(name)
+        else:
+            reader.open(name, raw)
+    reader.text(page[at:])
     reader.end_block()
     return reader.blocks
 
@@ -284,41 +321,74 @@ def _distance(a: Element, b: Element) -> int:
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source in a minimum cut, by shortest augmenting paths.
+    """Which nodes stay with the source in a minimum cut, by blocking flows over levels.
 
     A positive score is the capacity from the source, a negative one that to the sink; an edge has its
-    capacity both ways.
+    capacity both ways. Each round finds the distances from the source and then pushes flow along
+    shortest paths until none is left, so there are as many rounds as there are lengths of paths.
     """
     size = len(scores)
     source, sink = size, size + 1
-    rooms: list[dict[int, float]] = [{} for _ in range(size + 2)]
+    # an arc and its reverse stand next to each other
+    to: list[int] = []
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(size + 2)]
+
+    def connect(a: int, b: int, forth: float, back: float) -> None:
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((forth, back))
+
     for i, score in enumerate(scores):
-        a, b = (source, i) if score > 0 else (i, sink)
-        rooms[a][b] = abs(score)
-        rooms[b].setdefault(a, 0.0)
-    for a, b, room in edges:
-        rooms[a][b] = rooms[a].get(b, 0.0) + room
-        rooms[b][a] = rooms[b].get(a, 0.0) + room
+        if score > 0:
+            connect(source, i, score, 0.0)
+        else:
+            connect(i, sink, -score, 0.0)
+    for a, b, price in edges:
+        connect(a, b, price, price)
     tiny = 1e-9
     while True:
-        above = {source: source}
+        level = [-1] * (size + 2)
+        level[source] = 0
         queue = deque([source])
-        while queue and sink not in above:
+        while queue:
             a = queue.popleft()
-            for b, room in rooms[a].items():
-                if room > tiny and b not in above:
-                    above[b] = a
-                    queue.append(b)
-        if sink not in above:
-            return [i in above for i in range(size)]
-        path, b = [], sink
-        while b != source:
-            path.append((above[b], b))
-            b = above[b]
-        flow = min(rooms[a][b] for a, b in path)
-        for a, b in path:
-            rooms[a][b] -= flow
-            rooms[b][a] += flow
+            for arc in arcs[a]:
+                if room[arc] > tiny and level[to[arc]] < 0:
+                    level[to[arc]] = level[a] + 1
+                    queue.append(to[arc])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(size)]
+        tried = [0] * (size + 2)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[arc] for arc in path)
+                for arc in path:
+                    room[arc] -= flow
+                    room[arc ^ 1] += flow
+                # back to where the path has become full
+                full = next(k for k, arc in enumerate(path) if room[arc] <= tiny)
+                a = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            own, further = arcs[a], level[a] + 1
+            while tried[a] < len(own):
+                arc = own[tried[a]]
+                if room[arc] > tiny and level[to[arc]] == further:
+                    break
+                tried[a] += 1
+            if tried[a] < len(own):
+                path.append(own[tried[a]])
+                a = to[path[-1]]
+            elif path:
+                # a dead end: no path of this round goes through here
+                level[a] = -1
+                a = to[path.pop() ^ 1]
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:

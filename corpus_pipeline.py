@@ -55,9 +55,12 @@ def keep_one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     dropped = _stored(rows.filter("NOT kept").select("_id", "_sha", "keep_id").distinct(), "copies")
     hashed = docs.withColumn("_hash", F.sha2(lower_ascii(F.col("text")).cast("binary"), 256))
     same = hashed["doc_id"].eqNullSafe(dropped["_id"]) & (hashed["_hash"] == dropped["_sha"])
-    unique = hashed.join(dropped, same, "left_anti").select(docs.columns)
+    # as many rows may be dropped as there are, so both sides are shuffled, at every size alike
+    unique = hashed.join(dropped.hint("merge"), same, "left_anti").select(docs.columns)
     # here the id that stays is among those that went: the row itself is repeated
     repeated = dropped.filter(F.col("_id").eqNullSafe(F.col("keep_id")))
+    if repeated.isEmpty():
+        return unique
     again = hashed["doc_id"].eqNullSafe(repeated["_id"]) & (hashed["_hash"] == repeated["_sha"])
     one_each = hashed.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "_hash"])
     return unique.union(one_each.select(docs.columns))

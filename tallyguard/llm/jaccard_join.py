@@ -2,10 +2,11 @@
 
 Sets are ordered lists of shingle hashes, in one order for all: shingles that are frequent in the
 corpus come last. From the sizes of two sets follows how many of their leading shingles they have to
-share to be able to link. Index lists of shingles that few sets lead with give pairs and their counts;
-of the others only their number per set is needed to keep the bound exact, and sets that could link
-through them alone are joined to the list's first set. Sets that these candidates connect form a unit,
-and each set travels to its unit once; no pair of sets travels as a pair.
+share to be able to link. Index lists of shingles that few sets lead with give counts: first of every
+set with the head of each of its lists, which connects most of what belongs together, and then of the
+pairs in a list that this has not connected yet. Of the longer lists only their number per set is needed
+to keep the bound exact, and sets that could link through them alone are joined to the list's first set.
+Sets that these candidates connect form a unit, and each set travels to its unit once.
 
 Inside a unit, sets are sorted by size, and each shingle has the list of the places of its sets. For
 a set, the lists give its overlap with all others; places of sets that are too large or too small are
@@ -159,25 +160,44 @@ def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     in_long = long.groupBy("id").agg(F.count("*").alias("in_long"))
     facts = materialise(sets.select("id", "n").join(in_long, "id", "left").fillna(0, ["in_long"]))
 
-    counted = (
-        short.withColumnRenamed("id", "a")
-        .join(short.withColumnRenamed("id", "b"), "token")
-        .filter("a < b")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("common"))
-    )
     lead = {s: f"(n{s} - (({threshold} * n{s} + 99) div 100) + 1 + (n{s} div 20))" for s in "ab"}
     overlap = f"(({threshold} * (na + nb) + {99 + threshold}) div {100 + threshold})"
     may_link = (
         f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
         f" AND common + least(la, lb) >= least({lead['a']} - na, {lead['b']} - nb) + {overlap}"
     )
-    pairs = (
-        counted.join(facts.toDF("a", "na", "la"), "a")
-        .join(facts.toDF("b", "nb", "lb"), "b")
-        .filter(may_link)
-        .select("a", "b")
+
+    def linking(met: DataFrame) -> DataFrame:
+        """Of the pairs that met in index lists, those that share enough of them to be able to link."""
+        return (
+            met.groupBy("a", "b")
+            .agg(F.count("*").alias("common"))
+            .join(facts.toDF("a", "na", "la"), "a")
+            .join(facts.toDF("b", "nb", "lb"), "b")
+            .filter(may_link)
+            .select("a", "b")
+        )
+
+    first = short.groupBy("token").agg(F.min("id").alias("a"))
+    with_heads = materialise(linking(short.join(first, "token").filter("a < id").select("a", F.col("id").alias("b"))))
+    labels = components(with_heads).toDF("id", "label")
+    labelled = materialise(
+        short.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
+    )
+    # two sets that can link and are not connected yet have different labels in all lists they share
+    mixed = (
+        labelled.groupBy("token")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low < high")
+        .select("token")
+    )
+    open_lists = materialise(labelled.join(mixed, "token"))
+    met = (
+        open_lists.toDF("token", "a", "label_a")
+        .join(open_lists.toDF("token", "b", "label_b"), "token")
+        .filter("a < b AND label_a != label_b")
     )
+    pairs = with_heads.union(linking(met.select("a", "b")))
     # a set links through long lists alone only if it has enough of them
     by_long = long.join(facts.filter(f"in_long >= 1 + ({threshold} * n) div 2000").select("id"), "id")
     heads = materialise(by_long.groupBy("token").agg(F.min("id").alias("a")))

@@ -7,7 +7,8 @@ band, and kept when the edit distance is within the budget.
 
 Case and white space are evened out on both sides before. The benchmark is a stated set of queries:
 it is read in blocks of bounded size, and each block meets all documents where they are, without a
-shuffle.
+shuffle. Its index is built once and broadcast. Where one block does not hold the benchmark, the rows are
+stored between blocks, so a task never holds more than one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.llm.buckets import runs_of
 from tallyguard.llm.models import tidy
+from tallyguard.operators.materialise import materialise
 
 Q = 8
 EDIT_SHARE = 0.1
@@ -123,67 +125,68 @@ class Benchmark:
     def _slot(grams: np.ndarray) -> np.ndarray:
         return (grams * _MULTIPLIER >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
-    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, first diagonal) of the bands that hold enough shared q-grams."""
+    def _candidates(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, text, first diagonal) of the bands that hold enough shared q-grams.
+
+        ``starts`` says where each text begins in ``codes``, and where the last one ends. Diagonals are
+        those of the text, and q-grams do not reach from one text into the next.
+        """
         grams = _grams(codes, self.q)
         at = np.flatnonzero(self.filter[self._slot(grams)])
         slot = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
-        known = self.grams[slot] == grams[at]
-        at, slot = at[known], slot[known]
+        text = np.searchsorted(starts, at, "right") - 1
+        known = (self.grams[slot] == grams[at]) & (at + self.q <= starts[text + 1])
+        at, slot, text = at[known], slot[known], text[known]
         count = self.count[slot]
         posting = np.arange(count.sum()) + np.repeat(self.first[slot] - (np.cumsum(count) - count), count)
-        item = self.item[posting]
-        diagonal = np.repeat(at, count) - self.place[posting]
-        width = self.budgets[item] + 1
+        item, text = self.item[posting], np.repeat(text, count)
+        diagonal = np.repeat(at, count) - starts[text] - self.place[posting]
+        # a number for each pair of item and text that share anything
+        pairs, pair = np.unique(item * len(starts) + text, return_inverse=True)
+        items = pairs // len(starts)
+        band = diagonal // (self.budgets[item] + 1)
         # bands of two widths, a width apart: any e + 1 neighbouring diagonals lie in one of them
-        band = diagonal // width
-        offset = 1 << 40
-        keys = np.concatenate([band, band - 1]) + offset + (np.concatenate([item, item]) << 42)
+        offset = 1 << 33
+        keys = np.concatenate([band, band - 1]) + offset + (np.concatenate([pair, pair]) << 34)
         places = np.concatenate([posting, posting])
         order = np.argsort(keys)
         keys, places = keys[order], places[order]
         first, hits = runs_of(keys)
-        enough = np.repeat(hits >= self.bounds[keys[first] >> 42], hits)
+        enough = np.repeat(hits >= self.bounds[items[keys[first] >> 34]], hits)
         # of these, count each place of the item once
-        pairs = np.unique(np.stack([keys[enough], self.place[places[enough]]], axis=1), axis=0)
-        first, hits = runs_of(pairs[:, 0])
-        keys = pairs[first, 0]
-        enough = hits >= self.bounds[keys >> 42]
+        found = np.unique(np.stack([keys[enough], self.place[places[enough]]], axis=1), axis=0)
+        first, hits = runs_of(found[:, 0])
+        keys = found[first, 0]
+        enough = hits >= self.bounds[items[keys >> 34]]
         for key in keys[enough].tolist():
-            number = key >> 42
-            yield number, ((key & ((1 << 42) - 1)) - offset) * (int(self.budgets[number]) + 1)
+            number, text = divmod(int(pairs[key >> 34]), len(starts))
+            yield number, text, ((key & ((1 << 34) - 1)) - offset) * (int(self.budgets[number]) + 1)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each evened-out text its occurrences (item id, start, end, edits), without overlaps."""
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         for number, text in self.short:
             for i, t in enumerate(texts):
-                if (at := t.find(text)) >= 0:
+                at = t.find(text)
+                while at >= 0:
                     found[i].append((number, at, at + len(text), 0))
-        if not len(self.grams):
+                    at = t.find(text, at + len(text))
+        if not len(self.grams) or not texts:
             return found
-        # a gap that no item can bridge, of a code that no text has, stands between two texts
-        gap = np.full(int(max(len(c) for c in self.codes)) * 2 + self.q, 0xFFFFFFFF, np.uint32)
-        pieces, starts, at = [], [], 0
-        for t in texts:
-            starts.append(at)
-            pieces += [_codes(t), gap]
-            at += len(t) + len(gap)
-        codes = np.concatenate(pieces) if pieces else gap
+        pieces = [_codes(t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(piece) for piece in pieces])])
+        codes = np.concatenate(pieces)
         hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        begins = np.array(starts, np.int64)
         wanted = []
-        for item, low in self._candidates(codes):
-            budget, size = int(self.budgets[item]), len(self.codes[item])
-            i = max(0, int(np.searchsorted(begins, low + budget + size // 2, "right")) - 1)
-            first = low - budget - starts[i]
-            wanted.append((size, item, i, first, first + 4 * budget + 1))
+        for item, i, low in self._candidates(codes, starts):
+            budget = int(self.budgets[item])
+            wanted.append((len(self.codes[item]), item, i, low - budget, low + 3 * budget + 1))
         wanted.sort()
         for at in range(0, len(wanted), ALIGNED_AT_ONCE):
             some = wanted[at : at + ALIGNED_AT_ONCE]
             aligned = banded_alignments(
                 [self.codes[item] for _, item, *_ in some],
-                [codes[starts[i] : starts[i] + len(texts[i])] for _, _, i, *_ in some],
+                [pieces[i] for _, _, i, *_ in some],
                 [first for *_, first, _ in some],
                 [last for *_, last in some],
             )
@@ -256,7 +259,7 @@ def _searcher(block: Broadcast, at: int):
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(block.value)
+        bench = block.value
         for batch in batches:
             *columns, texts = batch.columns
             found = _matches(bench, texts.to_pylist())
@@ -284,8 +287,13 @@ def with_matches(
     kind = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
     rows = docs.withColumn(name, F.array().cast(kind))
     columns = rows.columns
+    searched = False
     for items in _blocks(benchmark, item_col, item_text_col):
-        block = docs.sparkSession.sparkContext.broadcast(items)
+        if searched:
+            # stored between blocks, so that tasks hold the index of one block at a time
+            rows = materialise(rows)
+        searched = True
+        block = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
         rows = rows.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_searched")).mapInArrow(
             tidy(_searcher(block, columns.index(name))), rows.schema
         )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -102,3 +103,33 @@ def test_edge_cases(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     assert contaminations(no_docs, benchmark).count() == 0
     assert contaminations(edge_docs, benchmark.limit(0)).count() == 0
     assert with_matches(edge_docs, benchmark).columns == edge_docs.columns
+
+
+def test_short_items_are_found_everywhere():
+    bench = Benchmark([(1, "ab"), (2, "c d")])
+    [found] = _matches(bench, ["AB x ab abab c  d"])
+    assert [(m["item_id"], m["start"], m["end"]) for m in found] == [(1, 0, 2), (1, 5, 7), (1, 8, 10), (1, 10, 12), (2, 13, 17)]
+
+
+def test_texts_next_to_each_other_stay_apart():
+    rnd = random.Random(5)
+    item = "".join(rnd.choice("abcdefgh ") for _ in range(80)).strip()
+    bench = Benchmark([(1, item)])
+    # halves of an item at the end of one text and the start of the next one are no occurrence
+    for cut in (20, 40, 60):
+        assert _matches(bench, ["x" * 30 + item[:cut], item[cut:] + "y" * 30]) == [[], []]
+    assert [len(m) for m in _matches(bench, [item, "", item + " " + item, "x"])] == [1, 0, 2, 0]
+
+
+def test_a_long_item_and_many_short_texts():
+    rnd = random.Random(6)
+    item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(20_000))
+    bench = Benchmark([(1, item)])
+    texts = [item[at : at + 15] for at in range(0, 100_000, 10)]
+    tracemalloc.start()
+    found = _matches(bench, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not any(found) and peak < 300 << 20
+    [whole] = _matches(bench, ["before " + item[:60_000] + "edited" + item[60_000:]])
+    assert [(m["item_id"], m["edits"]) for m in whole] == [(1, 6)]

@@ -12,7 +12,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.sources.tables import read_table, spread
+from tallyguard.sources.tables import read_table
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a given table, which may arrive as one file, dealt to as many tasks as there are cores.
+
+    The corpora are a few bytes a row here and long texts behind the projection, so they are dealt before
+    it. The library itself takes files as they are partitioned.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 @dataclass(frozen=True)

@@ -74,6 +74,7 @@ from tallyguard.plans.corpora import (
     SECRET_DOCUMENTS,
     SEED_CORPUS,
     migration_corpus,
+    spread,
 )
 from tallyguard.rules.catalog import EMAIL, LINE_RULES, NDPA_RULES, SCHEMA_RULES
 from tallyguard.rules.model import TABLE, Rule, by_framework
@@ -90,7 +91,7 @@ from tallyguard.sources.archives import archive_members, rejected_archives
 from tallyguard.sources.files import from_bytes, rejected_files, scan_directory, with_engine
 from tallyguard.sources.listing import opened_system
 from tallyguard.sources.ranges import scan_lines
-from tallyguard.sources.tables import read_table, spread
+from tallyguard.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -291,28 +292,36 @@ def scan_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @contextmanager
-def _written(spark: SparkSession, rows: DataFrame) -> Iterator[str]:
-    """The folder of files written from (relative_path, content) rows by the tasks that hold them."""
-    root = f"{shared_folder(spark)}/files/{uuid.uuid4()}"
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = opened_system(root)
-        for batch in batches:
-            for row in batch.to_pylist():
-                path = f"{folder}/{row['relative_path']}"
-                system.create_dir(posixpath.dirname(path))
-                with system.open_output_stream(path) as stream:
-                    stream.write(row["content"])
-            yield batch.select(["relative_path"])
-
-    rows.mapInArrow(write, "relative_path string").write.format("noop").mode("overwrite").save()
-    system, folder = opened_system(root)
+def _folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder that driver and executors share, removed in the end."""
+    root = f"{shared_folder(spark)}/{name}/{uuid.uuid4()}"
     try:
         yield root
     finally:
+        system, folder = opened_system(root)
         system.delete_dir(folder)
 
 
+@contextmanager
+def _written(spark: SparkSession, rows: DataFrame) -> Iterator[str]:
+    """The folder of files written from (relative_path, content) rows by the tasks that hold them."""
+
+    with _folder(spark, "files") as root:
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, folder = opened_system(root)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    path = f"{folder}/{row['relative_path']}"
+                    system.create_dir(posixpath.dirname(path))
+                    with system.open_output_stream(path) as stream:
+                        stream.write(row["content"])
+                yield batch.select(["relative_path"])
+
+        rows.mapInArrow(write, "relative_path string").write.format("noop").mode("overwrite").save()
+        yield root
+
+
 def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under names of all kinds, hidden ones most of all; one in eight is not UTF-8, one is empty."""
     name, case = F.col("page_id").cast("string"), F.col("page_id") % 8
@@ -780,17 +789,19 @@ def guard_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings as stored for dashboards, read back."""
-    path = f"{shared_folder(spark)}/findings/{uuid.uuid4()}"
-    write_findings(_findings(spark, sf_dir), path)
-    return spark.read.parquet(path).select(
-        "rule_id",
-        "risk_tier",
-        "file_path",
-        _text("table_name"),
-        _text("column_name"),
-        "description",
-        "reference",
-    )
+    with _folder(spark, "findings") as path:
+        write_findings(_findings(spark, sf_dir), path)
+        return materialise(
+            spark.read.parquet(path).select(
+                "rule_id",
+                "risk_tier",
+                "file_path",
+                _text("table_name"),
+                _text("column_name"),
+                "description",
+                "reference",
+            )
+        )
 
 
 _TARGET = Target(

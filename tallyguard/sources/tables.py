@@ -12,13 +12,3 @@ TABLES = (
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Uses all cores for a table that arrives in fewer partitions than there are cores.
-
-    Searching text costs far more than moving it once. A table of many partitions, which is any
-    table of size, stays as it is and is not shuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

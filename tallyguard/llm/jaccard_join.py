@@ -180,7 +180,8 @@ def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     first = short.groupBy("token").agg(F.min("id").alias("a"))
     with_heads = materialise(linking(short.join(first, "token").filter("a < id").select("a", F.col("id").alias("b"))))
-    labels = components(with_heads).toDF("id", "label")
+    # sets of one label are connected through the head that gave it
+    labels = with_heads.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
     labelled = materialise(
         short.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
     )
@@ -191,7 +192,7 @@ def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         .filter("low < high")
         .select("token")
     )
-    open_lists = materialise(labelled.join(mixed, "token"))
+    open_lists = labelled.join(mixed, "token")
     met = (
         open_lists.toDF("token", "a", "label_a")
         .join(open_lists.toDF("token", "b", "label_b"), "token")

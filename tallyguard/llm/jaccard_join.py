@@ -153,10 +153,11 @@ def _index(docs: DataFrame, classes, size: int, threshold: int) -> DataFrame:
 
 def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b): edges that connect all sets that may link. ``sets`` has (id, n), distinct sets only."""
-    index = materialise(index.join(sets.select("id"), "id").select("token", "id").distinct())
-    lists = index.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
-    short = index.join(lists.filter(F.col("sets") <= SHORT_LIST).select("token"), "token")
-    long = index.join(lists.filter(F.col("sets") > SHORT_LIST).select("token"), "token")
+    index = index.join(sets.select("id"), "id").select("token", "id").distinct()
+    lists = index.groupBy("token").agg(F.count("*").alias("sets"), F.min("id").alias("head")).filter("sets > 1")
+    is_long = (F.col("sets") > SHORT_LIST).alias("is_long")
+    listed = materialise(index.join(lists, "token").select("token", "id", "head", is_long))
+    short, long = listed.filter("NOT is_long"), listed.filter("is_long")
     in_long = long.groupBy("id").agg(F.count("*").alias("in_long"))
     facts = materialise(sets.select("id", "n").join(in_long, "id", "left").fillna(0, ["in_long"]))
 
@@ -167,23 +168,22 @@ def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         f" AND common + least(la, lb) >= least({lead['a']} - na, {lead['b']} - nb) + {overlap}"
     )
 
-    def linking(met: DataFrame) -> DataFrame:
-        """Of the pairs that met in index lists, those that share enough of them to be able to link."""
-        return (
-            met.groupBy("a", "b")
-            .agg(F.count("*").alias("common"))
-            .join(facts.toDF("a", "na", "la"), "a")
-            .join(facts.toDF("b", "nb", "lb"), "b")
-            .filter(may_link)
-            .select("a", "b")
-        )
-
-    first = short.groupBy("token").agg(F.min("id").alias("a"))
-    with_heads = materialise(linking(short.join(first, "token").filter("a < id").select("a", F.col("id").alias("b"))))
+    # of the pairs that meet in index lists, those that share enough of them to be able to link
+    with_heads = materialise(
+        short.filter("head < id")
+        .groupBy(F.col("head").alias("a"), F.col("id").alias("b"))
+        .agg(F.count("*").alias("common"))
+        .join(facts.toDF("a", "na", "la"), "a")
+        .join(facts.toDF("b", "nb", "lb"), "b")
+        .filter(may_link)
+        .select("a", "b")
+    )
     # sets of one label are connected through the head that gave it
     labels = with_heads.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
     labelled = materialise(
-        short.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
+        short.join(facts, "id")
+        .join(labels, "id", "left")
+        .select("token", "id", "n", "in_long", F.coalesce("label", "id").alias("label"))
     )
     # two sets that can link and are not connected yet have different labels in all lists they share
     mixed = (
@@ -194,11 +194,13 @@ def _candidates(index: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
     open_lists = labelled.join(mixed, "token")
     met = (
-        open_lists.toDF("token", "a", "label_a")
-        .join(open_lists.toDF("token", "b", "label_b"), "token")
+        open_lists.toDF("token", "a", "na", "la", "label_a")
+        .join(open_lists.toDF("token", "b", "nb", "lb", "label_b"), "token")
         .filter("a < b AND label_a != label_b")
+        .groupBy("a", "b", "na", "la", "nb", "lb")
+        .agg(F.count("*").alias("common"))
     )
-    pairs = with_heads.union(linking(met.select("a", "b")))
+    pairs = with_heads.union(met.filter(may_link).select("a", "b"))
     # a set links through long lists alone only if it has enough of them
     by_long = long.join(facts.filter(f"in_long >= 1 + ({threshold} * n) div 2000").select("id"), "id")
     heads = materialise(by_long.groupBy("token").agg(F.min("id").alias("a")))

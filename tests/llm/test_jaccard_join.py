@@ -52,6 +52,21 @@ def found(docs):
     return sorted((number(r.doc_id), r.n_shingles, number(r.component_id)) for r in rows)
 
 
+def test_edges_are_made_once(spark):
+    # a chain over several partitions: what makes its edges must not run again for the other direction
+    runs = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    chain = spark.range(0, 400, numPartitions=4).selectExpr("id AS a", "id + 1 AS b")
+    found = components(chain.mapInArrow(make, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in found} == {(i, 0) for i in range(401)}
+    assert runs.value == 400
+
+
 def test_unit_against_all_pairs():
     rnd = random.Random(3)
     for _ in range(150):

@@ -41,7 +41,7 @@ from tallyguard.operators.findings import (
     sarif_results,
 )
 from tallyguard.operators.ledger import negative_entries, unbalanced_groups
-from tallyguard.operators.materialise import materialise, shared_folder
+from tallyguard.operators.materialise import materialise, shared_folder, stored
 from tallyguard.operators.merkle import merkle_root, merkle_roots
 from tallyguard.operators.numbering import number_rows, number_rows_by
 from tallyguard.operators.redaction import explode_lines, redact, redaction_hits
@@ -824,7 +824,7 @@ def remediation_script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON report of every database."""
-    audited = materialise(_audited(spark, sf_dir).select("db", "tables", "redacted", "findings"))
+    audited = stored(_audited(spark, sf_dir).select("db", "tables", "redacted", "findings"))
     findings = findings_of(audited, ["db"])
     results = rule_results(findings, SCHEMA_RULES, ["db"], audited)
     report = json_report(findings, audit_summary(audited, SCHEMA_RULES, ["db"]), results, _TARGET, ["db"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.constants import FRAMEWORKS, TIERS
 from tallyguard.operators.findings import finding_records, first_per_rule, sarif_results
-from tallyguard.operators.materialise import materialise
+from tallyguard.operators.materialise import materialise, stored
 from tallyguard.operators.remediation import (
     AUDIT_LOG_STATEMENT,
     patched_files,
@@ -264,7 +264,7 @@ def json_report(
     ``summary`` is the frame of ``audit_summary``, ``results`` that of ``rule_results``, both with the
     columns of ``by``. Every row of the summary has a document.
     """
-    findings = materialise(_grouped(findings, by))
+    findings = stored(_grouped(findings, by))
     summary, results = materialise(_grouped(summary, by)), _grouped(results, by)
     keys = _by(by)
     groups = summary.select(*keys)
@@ -305,8 +305,9 @@ def json_report(
             )
         ).alias("line"),
     )
-    listed = _list_items(
-        findings, keys, ORDER_KEY, 5, F.to_json(F.struct(*FINDING_COLUMNS), _NULLS)
+    # stored, so that what its join shuffles is gone before the lines are sorted
+    listed = stored(
+        _list_items(findings, keys, ORDER_KEY, 5, F.to_json(F.struct(*FINDING_COLUMNS), _NULLS))
     )
     rules = _list_items(
         results,
